@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, warc
+from . import bpe, chat, exact_dedup, mixing, warc
 from .scratch import shared_dir
 
 
@@ -31,6 +31,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/joinwright/warc-{uuid.uuid4().hex}"
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -48,6 +59,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
     "op10_warc_archive": op10_warc_archive,
 }
 
