@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, warc
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, warc
 from .scratch import shared_dir
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold("doc_id") == 2, F.lit(False))
+    sample = langid.training_text(docs.filter(~held_out), "doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), sample)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +68,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
