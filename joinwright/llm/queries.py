@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, warc
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, warc
 from .scratch import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
     "op3_near_dedup": op3_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
