@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, warc
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, pii, quality, warc
 from .scratch import shared_dir
 
 
@@ -59,6 +59,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/joinwright/warc-{uuid.uuid4().hex}"
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
     "op10_warc_archive": op10_warc_archive,
 }
 
