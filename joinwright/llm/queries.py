@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, pii, quality, warc
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, pii, quality, sharding, warc
 from .scratch import shared_dir
 
 
@@ -44,6 +44,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), 40)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
