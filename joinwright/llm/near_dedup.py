@@ -276,7 +276,7 @@ def _finished(members: DataFrame, texts: DataFrame, levels, width: int, threshol
     kind = members.schema["id"].dataType.simpleString()
     with_text = members.join(texts.hint("merge"), "id").select("bucket", "id", "label", "text")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         weigh = Weigher(levels.value, width)
         ids, labels = table.column("id").to_pylist(), table.column("label").to_pylist()
         vectors = _vectors(table.column("text").combine_chunks(), weigh)
