@@ -190,7 +190,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 3, in_task: int = 48) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> DataFrame:
     """One row per row of docs: id_col, class_id, text_id, kept.
 
     class_id is the smallest id of the texts connected by links of at least threshold (weighted Jaccard similarity of
@@ -198,8 +198,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the rows whose id is their class_id. Words are compared as they stand. A text of fewer words than width is one shingle. A text that
     is null or has no word is a class of its own, named by its id. A null id takes the class of its text, null if
     no other row has it. Rows repeated with the same id are all returned. An empty table gives an empty table.
-    Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in one task if it has at most
-    in_task members, else by a join.
+    Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in
+    blocks of so many members.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_frequencies(docs, text_col, width))  # BUCKETS bytes
@@ -226,9 +226,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         members = left
         if round_no == leader_rounds:
-            last = _finished(members.filter(F.col("n") <= in_task), texts, levels, width, threshold)
-            crossing = _compared(_crossing(members.filter(F.col("n") > in_task)), texts, levels, width)
-            links = links.unionByName(last).unionByName(crossing.filter(F.col("sim") >= threshold).select("a", "b"))
+            links = links.unionByName(written(_crossing(members, texts, levels, width, threshold, block), "near-crossing"))
             labels = components(links)
             break
     of_rep = labels.select(F.col("id").alias("r"), "label").hint("merge")
@@ -257,39 +255,60 @@ def _open_members(members: DataFrame, compared: DataFrame, labels: DataFrame, li
     stats = written(stats.filter("l0 != l1 and far_from is not null"), f"near-open{round_no}")
     kept = rest.join(stats.hint("merge"), "bucket").filter((F.col("side") == "far") | (F.col("d") >= F.col("far_from") - limit))
     kept = written(kept.select("bucket", "id", "label"), f"near-kept{round_no}")
-    again = kept.groupBy("bucket").agg(F.min_by("id", F.xxhash64(F.lit(round_no), "id")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    again = written(again.filter("n > 1 and l0 != l1").select("bucket", "lead", "n"), f"near-again{round_no}")
+    again = kept.groupBy("bucket").agg(
+        F.min_by("id", F.xxhash64(F.lit(round_no), "id")).alias("lead"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"),
+        F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("who_else"),
+    )
+    # Of buckets with the same members one is enough.
+    again = again.filter("n > 1 and l0 != l1").groupBy("who", "who_else", "n").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
+    again = written(again.select("bucket", "lead", "n"), f"near-again{round_no}")
     return written(kept.join(again.hint("merge"), "bucket").select("bucket", "id", "lead", "n", "label"), f"near-left{round_no}")
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of members of a bucket that are not of one class, each with an a outside the bucket's largest class."""
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    largest = written(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("largest")), "near-largest")
-    minor = written(members.join(largest.hint("merge"), "bucket").filter("label != largest").select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), "near-minor")
-    pairs = members.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb")).join(minor.hint("merge"), "bucket").filter("la != lb")
-    return pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-
+def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different classes; one at least for each member and class that are linked.
 
-def _finished(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float) -> DataFrame:
-    """Links (a, b) between members of small buckets that are not yet of one class, each bucket in one task."""
+    Members outside the bucket's largest class ask, all members answer, in blocks of about `block` askers and members each: a
+    task holds two blocks of texts, whatever the size of the bucket, and no pair is ever a row.
+    """
     kind = members.schema["id"].dataType.simpleString()
-    with_text = members.join(texts.hint("merge"), "id").select("bucket", "id", "label", "text")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("asking"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    sizes = written(sizes.filter("asking > 0").select("bucket", "largest", blocks("n").alias("ms"), blocks("asking").alias("qs")), "near-blocks")
+    each = members.select("bucket", "id", "label").join(sizes.hint("merge"), "bucket")
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    answer = each.select("bucket", "id", "label", F.lit(False).alias("asks"), own("ms").alias("m"), every("qs").alias("q"))
+    ask = each.filter("label != largest").select("bucket", "id", "label", F.lit(True).alias("asks"), own("qs").alias("q"), every("ms").alias("m"))
+    dealt = written(answer.unionByName(ask), "near-dealt").join(texts.hint("merge"), "id").select("bucket", "q", "m", "id", "label", "asks", "text")
 
     def run(key, table):
         weigh = Weigher(levels.value, width)
-        ids, labels = table.column("id").to_pylist(), table.column("label").to_pylist()
         vectors = _vectors(table.column("text").combine_chunks(), weigh)
-        total = [WEIGHTS[x[1]].sum() for x in vectors]
-        pairs = [
-            (ids[i], ids[j])
-            for i in range(len(ids))
-            for j in range(i)
-            if labels[i] != labels[j] and min(total[i], total[j]) >= threshold * max(total[i], total[j]) and similarity(vectors[i], vectors[j]) >= threshold
-        ]
-        return pa.Table.from_arrays([pa.array([p[0] for p in pairs], table.schema.field("id").type), pa.array([p[1] for p in pairs], table.schema.field("id").type)], names=["a", "b"])
-
-    return with_text.groupBy("bucket").applyInArrow(run, f"a {kind}, b {kind}")
+        ids, asks = table.column("id").to_pylist(), np.array(table.column("asks").to_pylist())
+        _, label = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
+        answers = np.flatnonzero(~asks)
+        total = np.array([WEIGHTS[x[1]].sum() for x in vectors])
+        posted = np.concatenate([vectors[i][0] for i in answers]) if len(answers) else np.empty(0, np.uint64)
+        order = np.argsort(posted, kind="stable")
+        posted = posted[order]
+        weight = np.concatenate([WEIGHTS[vectors[i][1]] for i in answers])[order] if len(answers) else np.empty(0)
+        owner = np.repeat(np.arange(len(answers)), [len(vectors[i][0]) for i in answers])[order]
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            x, mine = vectors[i][0], WEIGHTS[vectors[i][1]]
+            low, high = np.searchsorted(posted, x, "left"), np.searchsorted(posted, x, "right")
+            found = np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())
+            least = np.bincount(owner[found], np.minimum(weight[found], np.repeat(mine, high - low)), len(answers))
+            hit = np.flatnonzero((least >= threshold * (total[i] + total[answers] - least)) & (label[answers] != label[i]))
+            _, first = np.unique(label[answers[hit]], return_index=True)
+            a += [ids[i]] * len(first)
+            b += [ids[answers[j]] for j in hit[first]]
+        own = table.schema.field("id").type
+        return pa.Table.from_arrays([pa.array(a, own), pa.array(b, own)], names=["a", "b"])
+
+    return dealt.groupBy("bucket", "q", "m").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
