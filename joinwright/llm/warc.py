@@ -76,5 +76,6 @@ def record_bytes(archive: DataFrame) -> DataFrame:
 
 
 def export_warc(archive: DataFrame, path: str) -> None:
-    """The records as WARC text files under path, one file per task."""
-    record_bytes(archive).select(F.decode("record", "UTF-8").alias("value")).write.option("lineSep", "").text(path)
+    """The records as WARC files under path, one per task; the two line ends that close a record are the writer's line separator."""
+    body = F.when(F.col("kind") == "revisit", F.lit("")).otherwise(F.decode("payload", "UTF-8"))
+    archive.select(F.concat("header", body).alias("value")).write.option("lineSep", CRLF * 2).text(path)
