@@ -80,10 +80,11 @@ class Model:
         for k in self.langs:
             own = [x for x in self.code[np.frombuffer(lowered[k].encode("utf-32-le", "surrogatepass"), np.uint32)].tolist() if x > 1]
             t = automaton(own, self.width)
-            # A missing move ends the phrase and starts the next with the same character: the move of the start state, marked.
+            # A missing move ends the phrase and starts the next with the same character: the move of the start state. All moves that
+            # start a phrase are marked. A character that the language never has is a phrase of its own and leads to the start.
             first = np.tile(t[: self.width], len(t) // self.width)
-            # A character that the language never has is a phrase of its own.
             t = np.where(t > 0, t + at, first + at | _FRESH)
+            t[: self.width] |= _FRESH
             t[:: self.width] = np.arange(0, len(t), self.width) + at  # padding changes nothing
             tables.append(t.astype(np.int32))
             starts.append(at)
@@ -96,8 +97,7 @@ class Model:
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of phrases (languages x rows) of codes (steps x rows), each parsed from its top; a pad changes nothing."""
         steps, rows = codes.shape
-        # The last phrase of each row is open: it counts as one.
-        count = np.repeat((codes != 0).any(axis=0)[None], len(self.langs), axis=0).astype(np.int32)
+        count = np.zeros((len(self.langs), rows), np.int32)
         state = np.repeat(self.starts[:, None], rows, axis=1)
         for t in range(steps):
             state &= _FRESH - 1
