@@ -22,6 +22,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .scratch import shipped
+
 #: The pre-tokenizer's pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -156,7 +158,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*part.schema.names, ids_col])
 
-    return src.mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))]))
+    return shipped(src).mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -173,7 +175,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
                 texts = [c.decode(x or []) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
 
-    return src.mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return shipped(src).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,4 +200,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, out)
+    return shipped(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, out)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import shipped
+
 BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 _CONTROL = re.compile("|".join(map(re.escape, (BOS, EOS, OPEN, CLOSE))))
 _ROLE = re.compile(r"((?:[^\\\n]|\\.)*)\n", re.DOTALL)
@@ -108,7 +110,7 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     kind = turns.schema[conv_col].dataType.simpleString()
     rows = turns.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    made = dealt.mapInPandas(_examples(reply_role, batch_chars), "conv string, example long, n_turns long, text string, loss_start long, loss_end long")
+    made = shipped(dealt).mapInPandas(_examples(reply_role, batch_chars), "conv string, example long, n_turns long, text string, loss_start long, loss_end long")
     return made.withColumn("conv", F.col("conv").cast(kind))
 
 
@@ -144,5 +146,5 @@ def read_back(examples: DataFrame) -> DataFrame:
     """Digests of what expand() made, parsed and unescaped from its output: one row per conversation."""
     kind = examples.schema["conv"].dataType.simpleString()
     named = examples.withColumn("conv", F.col("conv").cast("string"))
-    read = named.mapInPandas(_read_back, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = shipped(named).mapInPandas(_read_back, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return read.withColumn("conv", F.col("conv").cast(kind))

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scratch import shipped
 
 #: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that they
 #: come from in the mean, languages, and characters that have a code of their own.
@@ -211,10 +214,8 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lan
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_col, score_col])
                 start = end
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return src.mapInArrow(run, schema)
+    return shipped(src).mapInArrow(run, schema)
 
 
 def fold(id_col: str, folds: int = 4) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import shipped, written
 from .words import word_count
 
 _MASK = (1 << 64) - 1
@@ -134,7 +134,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     while True:
         root = chunks <= 1
         dealt = each.repartition("rank", "chunk").sortWithinPartitions("rank", "chunk", F.desc("size"), "h", "id")
-        done = written(dealt.mapInArrow(_round(level, root), schema), f"mix-level{level}")
+        done = written(shipped(dealt).mapInArrow(_round(level, root), schema), f"mix-level{level}")
         rounded.append(done.filter(~F.col("open")))
         if root:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import shipped, written
 from .shingles import counted, mix64, shingles, slices
 
 BUCKETS, CHUNK = 1 << 20, 1 << 12
@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in
     blocks of so many members.
     """
-    spark = docs.sparkSession
+    spark = shipped(docs).sparkSession
     levels = spark.sparkContext.broadcast(_frequencies(docs, text_col, width))  # BUCKETS bytes
     signed = written(_signatures(docs, id_col, text_col, levels, width, bands, rows), "near-signed")
     reps = written(signed.filter("bands is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-reps")

@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/joinwright/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, once this package has been sent to the executors of its session, whose Python workers import it."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_joinwright_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        place = tempfile.mkdtemp(prefix="joinwright-package-")  # Spark serves the file from here to the executors
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        with zipfile.ZipFile(f"{place}/{package.name}.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(f"{place}/{package.name}.zip")
+        sc._joinwright_shipped = True
+    return df
