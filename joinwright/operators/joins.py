@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.memory import plan_chunks
@@ -118,9 +118,9 @@ def radix_split(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
     bits = bits_for(r, cfg)
     n, pid = _partitions(r, bits), radix("key", bits)
     counts = s.groupBy(pid.alias("pid")).agg(F.count("*").alias("n"))
-    mean = counts.agg(F.avg("n")).first()[0] or 1.0
-    parts = counts.filter(F.col("n") > cfg.hot_share * mean).select("pid", F.ceil(F.col("n") / (cfg.hot_share * mean)).cast("int").alias("parts"))
-    parts = F.broadcast(parts)
+    fair = cfg.hot_share * F.avg("n").over(Window.partitionBy(F.lit(0)))
+    counts = counts.select("pid", "n", fair.alias("fair"))
+    parts = F.broadcast(counts.filter("n > fair").select("pid", F.ceil(F.col("n") / F.col("fair")).cast("int").alias("parts")))
     a, b = _sides(r.withColumn("pid", pid), s.withColumn("pid", pid), "pid")
     a = a.join(parts, "pid", "left").select("key", "r_payload", "pid", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     dealt = F.pmod(F.xxhash64("s_payload", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")
