@@ -39,3 +39,8 @@ def placed(r: DataFrame, size: int, place: str = "place") -> DataFrame:
     """(place, key, payload) for all places from 0 to size - 1; places that no row names have nulls."""
     slots = r.sparkSession.range(size).select(F.col("id").alias(place))
     return slots.join(r.select(F.col(place).cast("bigint").alias(place), "key", "payload"), place, "left")
+
+
+def partition_sizes(r: DataFrame) -> DataFrame:
+    """(partition, n): rows that each task scans."""
+    return r.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))

@@ -123,3 +123,16 @@ def test_sealing(spark):
         sealing.unseal(flipped, key).collect()
     with pytest.raises(ValueError):
         sealing.seal(r, b"short")
+
+
+def test_partitions(spark):
+    from joinwright.operators import partitioning
+
+    r = generators.pk(spark, 100)
+    assert sum(x["n"] for x in partitioning.partition_sizes(partitioning.partition(r, 3)).collect()) == 100
+    counts = {x["pid"]: (x["n"], x["start"]) for x in partitioning.prefix_sums(partitioning.histogram(r, 3)).collect()}
+    at = 0
+    for pid in range(8):
+        n = sum(k & 7 == pid for k in range(1, 101))
+        assert counts[pid] == (n, at)
+        at += n
