@@ -94,7 +94,27 @@ QUERIES = {
     "op10_warc_archive": op10_warc_archive,
 }
 
+def _escaped(x: str) -> str:
+    """SQL: x as chat.escape() gives it."""
+    x = f"replace({x}, '\\', '\\\\')"
+    for c in (chat.BOS, chat.EOS, chat.OPEN, chat.CLOSE):
+        x = f"replace({x}, '{c}', '{c[0]}\\{c[1:]}')"
+    return x
+
+
 ORACLE_SQL = {
+    "op4_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        l AS (SELECT *, {len(chat.OPEN + chat.CLOSE) + 1} + length(replace({_escaped("r")}, chr(10), chr(92) || chr(10))) + length({_escaped("t")}) AS n FROM c),
+        s AS (SELECT *, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS final
+              FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+               CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(CASE WHEN r = 'assistant' OR final THEN {len(chat.BOS + chat.EOS)} + upto END) AS BIGINT) AS formatted_chars
+        FROM s GROUP BY conv_id
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
