@@ -38,10 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with the digest of the text that they decode to."""
-    path = vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe.decode(encoded, path).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The token ids of each document, with digests of them and of the text that they decode to."""
+    return bpe.round_trip(docs, vocabulary(), with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("bpe", tokens)]

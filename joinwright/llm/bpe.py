@@ -28,8 +28,8 @@ from .scratch import shipped
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CHUNK_BITS = 10  # chunks of about 1 KB
-CACHE_BYTES = 64_000_000  # cores that one Python worker keeps
-SLICE_BYTES = 4_000_000  # of text whose ids are held at once
+CACHE_BYTES = 32_000_000  # cores that one Python worker keeps
+SLICE_BYTES = 2_000_000  # of text whose ids are held at once
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -178,26 +178,34 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     return shipped(src).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text's ids and of the text decoded from them: id_col, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Digests of each text's ids and of the text decoded from them: id_col, n_tokens, ids_sha256, decoded_sha256;
+    with_ids adds the ids.
 
-    Encodes and decodes with the codec of encode() and decode(), in one pass that gives neither ids nor texts back to the JVM.
+    Encodes and decodes with the codec of encode() and decode(), in one pass through one Python worker a task; decoded texts don't go back to the JVM.
     """
+    kind = docs.schema[id_col].dataType
+    fields = [T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), True))] if with_ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         name_of = {i: str(i) for i in c.bytes_of}
         for batch in batches:
-            rows = [], [], [], []
             for part, texts in _slices(batch, batch.column(1)):
-                rows[0].extend(part.column(0).to_pylist())
+                sizes, digests, decoded, kept = [], [], [], []
                 for t in texts:
-                    ids = c.encode(t).tolist()
-                    rows[1].append(len(ids))
-                    rows[2].append(hashlib.sha256(",".join(map(name_of.__getitem__, ids)).encode()).hexdigest())
-                    rows[3].append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.types[0]), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    array = c.encode(t)
+                    ids = array.tolist()
+                    sizes.append(len(ids))
+                    digests.append(hashlib.sha256(",".join(map(name_of.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(array.astype(np.int32))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept))))
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return shipped(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, out)
