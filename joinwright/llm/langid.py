@@ -23,7 +23,7 @@ from .scratch import shipped
 
 #: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that they
 #: come from in the mean, languages, and characters that have a code of their own.
-TRAIN_CHARS, TRAIN_TOTAL, TRAIN_ROWS, MOST_LANGUAGES, ALPHABET = 40_000, 300_000, 400, 200, 62
+TRAIN_CHARS, TRAIN_TOTAL, TRAIN_ROWS, MOST_LANGUAGES, ALPHABET = 20_000, 200_000, 400, 200, 62
 SEGMENT = 2048
 
 
@@ -64,24 +64,35 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 _FRESH = np.int32(1 << 30)
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def points(text: str) -> np.ndarray:
+    """The text's letters as lower-case code points; each run of other characters is one space."""
+    p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[p]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    return np.where(letter, p, np.uint32(32))[kept]
+
+
 class Model:
     """Parses texts with all languages at once. texts: language -> labelled text."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        lowered = {k: texts[k].lower() for k in self.langs}
-        seen: dict[str, int] = {}
-        for t in lowered.values():
-            for ch in t:
-                seen[ch] = seen.get(ch, 0) + 1
-        chars = sorted(seen, key=lambda ch: (-seen[ch], ch))[:ALPHABET]
+        known = {k: points(texts[k]) for k in self.langs}
+        seen, often = np.unique(np.concatenate([*known.values(), np.empty(0, np.uint32)]), return_counts=True)
+        chars = seen[np.lexsort((seen, -often))][:ALPHABET].tolist()
         # 0 pads, 1 stands for all characters without a code
         self.width = 1 << max(1, (len(chars) + 1).bit_length())
         self.code = np.ones(0x110000, np.uint8)
-        self.code[[ord(ch) for ch in chars]] = np.arange(2, len(chars) + 2)
+        self.code[chars] = np.arange(2, len(chars) + 2)
         tables, starts, at = [], [], 0
         for k in self.langs:
-            own = [x for x in self.code[np.frombuffer(lowered[k].encode("utf-32-le", "surrogatepass"), np.uint32)].tolist() if x > 1]
+            own = [x for x in self.code[known[k]].tolist() if x > 1]
             t = automaton(own, self.width)
             # A missing move ends the phrase and starts the next with the same character: the move of the start state. All moves that
             # start a phrase are marked. A character that the language never has is a phrase of its own and leads to the start.
@@ -94,8 +105,7 @@ class Model:
             at += len(t)
         self.table = np.concatenate(tables) if tables else np.zeros(self.width, np.int32)
         self.starts = np.array(starts, np.int32)
-        self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.langs])
-        self.letter = _letters()
+        self.bits = np.array([math.log2(max(2, len(known[k]))) for k in self.langs])
 
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of phrases (languages x rows) of codes (steps x rows), each parsed from its top; a pad changes nothing."""
@@ -111,16 +121,16 @@ class Model:
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language of each text (und if it has no letter) and a score: by what share the runner-up needs more than the winner, of the runner-up's need."""
-        points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        lettered = [bool(self.letter[p].any()) for p in points]
+        all_points = [points(t) for t in texts]
+        lettered = [bool((p != 32).any()) for p in all_points]
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        sizes = np.array([len(p) if ok else 0 for p, ok in zip(points, lettered, strict=True)])
+        sizes = np.array([len(p) if ok else 0 for p, ok in zip(all_points, lettered, strict=True)])
         parts = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), parts)
         total = np.zeros((len(self.langs), len(texts)), np.int64)
         if len(owner):
-            flat = self.code[np.concatenate([p for p, ok in zip(points, lettered, strict=True) if ok])]
+            flat = self.code[np.concatenate([p for p, ok in zip(all_points, lettered, strict=True) if ok])]
             begin = np.concatenate(([0], np.cumsum(sizes)))[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
             size = np.minimum(SEGMENT, (np.concatenate(([0], np.cumsum(sizes)))[owner + 1] - begin))
             by_size = np.argsort(size, kind="stable")
@@ -140,11 +150,6 @@ class Model:
         return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), lettered, strict=True)], [float(x) if ok else 0.0 for x, ok in zip(score.tolist(), lettered, strict=True)]
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-
-
 def training_text(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int = TRAIN_CHARS, rows: int = TRAIN_ROWS) -> dict[str, str]:
     """A bounded sample of labelled text per language.
 
