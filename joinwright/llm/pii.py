@@ -147,7 +147,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns:
     seen = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.w", "x.value", F.lit(True).alias("seed"))
     may = found.select(F.explode("shaped").alias("x")).filter("x.l IS NOT NULL").select("x.kind", "x.w", "x.value", F.lit(False).alias("seed"))
     edges = written(seen.unionByName(may).groupBy("kind", "w", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-edges")
-    wanted = edges.filter("seed").groupBy("w").agg(F.count("*").alias("k")).filter(F.col("k") >= support).select("w")
+    # Words before as many values as a pattern needs, seeds or not: what one turn discovers may support a pattern of the next.
+    wanted = edges.groupBy("kind", "w").agg(F.count("*").alias("k")).filter(F.col("k") >= support).select("w").distinct()
     # An inner join with distinct words: a semi-join would be pushed below the counting and move every single word.
     totals = written(_word_counts(docs, text_col).join(wanted.hint("merge"), "w"), "pii-words")
     new = written(discover(edges, totals, turns, support, confidence), "pii-new")

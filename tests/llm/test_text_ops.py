@@ -287,6 +287,14 @@ def test_patterns_discover(spark):
     assert rows[20]["n_phone"] == 0 and rows[3]["n_phone"] == 1
 
 
+def test_discovered_identifiers_support_patterns(spark):
+    found = [f"555-123-456{i}" for i in range(4)]
+    texts = [f"some text {i} then Phone: +1 555 {i:07d} and more" for i in range(20)] + [f"write Phone: {x} now" for x in found[:3]] + [f"write Tel: {x} now" for x in found]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [rows[i] for i in range(20, 27)] == ["phone:13:25"] * 3 + ["phone:11:23"] * 4
+    assert pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), turns=1).filter("doc_id = 26").first()["spans"] == ""
+
+
 # --- pipeline ---
 
 
