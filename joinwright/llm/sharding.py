@@ -3,6 +3,7 @@
 Rows with equal texts are an atomic group. Groups are ordered by their text's digest, and groups whose digests begin alike make
 one atom, so there are `atoms` of them at most, of nearly equal size save for large groups. The smallest capacity at which
 a greedy pass over the atoms needs no more than the wanted number of shards is found by binary search, and the atoms are cut there.
+An atom above the capacity has a shard of its own, so that a large group doesn't set the size of the other shards.
 """
 
 from __future__ import annotations
@@ -17,24 +18,26 @@ ATOMS = 1 << 16
 
 def _cuts(sizes: DataFrame, shards: int) -> list[int]:
     """First atoms of the shards after the first. sizes: (atom, size), ATOMS rows at most, folded in one row."""
-    row = sizes.agg(F.sort_array(F.collect_list(F.struct("atom", "size"))).alias("p"), F.sum("size").alias("total"), F.max("size").alias("most"))
-    # A shard is closed when the next atom would exceed the capacity; s.n counts shards.
-    greedy = "aggregate(p, named_struct('n', 1L, 'room', {cap}), (s, x) -> CASE WHEN x.size <= s.room THEN named_struct('n', s.n, 'room', s.room - x.size) ELSE named_struct('n', s.n + 1, 'room', {cap} - x.size) END, s -> s.n)"
+    row = sizes.agg(F.sort_array(F.collect_list(F.struct("atom", "size"))).alias("p"), F.sum("size").alias("total"))
+    # A shard is closed when the next atom would exceed the capacity; s.n counts shards. An atom above the capacity opens a shard
+    # and leaves no room in it: more shards are never needed at a larger capacity, so the least one for all other atoms is found.
+    greedy = "aggregate(p, named_struct('n', 0L, 'room', -1L), (s, x) -> CASE WHEN x.size <= s.room THEN named_struct('n', s.n, 'room', s.room - x.size) ELSE named_struct('n', s.n + 1, 'room', {cap} - x.size) END, s -> s.n)"
     fits = greedy.format(cap="(r.lo + r.hi) div 2") + f" <= {shards}"
-    search = f"aggregate(sequence(1, 64), named_struct('lo', most, 'hi', total), (r, i) -> CASE WHEN r.lo >= r.hi THEN r WHEN {fits} THEN named_struct('lo', r.lo, 'hi', (r.lo + r.hi) div 2) ELSE named_struct('lo', (r.lo + r.hi) div 2 + 1, 'hi', r.hi) END, r -> r.hi)"
-    cut = "aggregate(p, named_struct('room', cap, 'cuts', cast(array() AS array<int>)), (s, x) -> CASE WHEN x.size <= s.room THEN named_struct('room', s.room - x.size, 'cuts', s.cuts) ELSE named_struct('room', cap - x.size, 'cuts', concat(s.cuts, array(x.atom))) END, s -> s.cuts)"
+    search = f"aggregate(sequence(1, 64), named_struct('lo', 0L, 'hi', total), (r, i) -> CASE WHEN r.lo >= r.hi THEN r WHEN {fits} THEN named_struct('lo', r.lo, 'hi', (r.lo + r.hi) div 2) ELSE named_struct('lo', (r.lo + r.hi) div 2 + 1, 'hi', r.hi) END, r -> r.hi)"
+    cut = "aggregate(p, named_struct('room', -1L, 'cuts', cast(array() AS array<int>)), (s, x) -> CASE WHEN x.size <= s.room THEN named_struct('room', s.room - x.size, 'cuts', s.cuts) ELSE named_struct('room', cap - x.size, 'cuts', concat(s.cuts, array(x.atom))) END, s -> s.cuts)"
     found = row.withColumn("cap", F.expr(search)).select(F.expr(cut).alias("cuts")).first()
-    return list(found["cuts"] or []) if found else []
+    return list(found["cuts"] or [])[1:] if found else []
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", atoms: int = ATOMS, window_rows: int = 512, row_bytes: int = 16) -> DataFrame:
     """One row per row of docs: id, size (UTF-8 bytes of the text and row_bytes), crc32 of the text (unsigned), shard and slot.
 
-    No contiguous partition of the atoms has a smaller largest shard. Slots count from 0 without gaps in each shard,
+    No contiguous partition of the atoms has a smaller largest shard, nor, with atoms above the capacity in shards of their own, a
+    smaller largest one of the others. Slots count from 0 without gaps in each shard,
     ordered by atom, then a part of it by a hash of the id, then id and text digest: an atom of many rows, as a large group of copies makes,
     is numbered in parts of about window_rows rows. A null text counts as the empty text; null ids come first in their part. Rows
-    repeated in all columns take slots of their own. Shards may stay empty if there are few groups; a group larger than an even share makes its
-    shard as large as itself. An empty table gives an empty table. Other columns are not read.
+    repeated in all columns take slots of their own. Shards may stay empty if there are few groups; a group larger than the others' capacity makes a
+    shard as large as itself, and the others are spread over the rest. An empty table gives an empty table. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))

@@ -199,6 +199,24 @@ def test_cuts_are_minimax(spark):
     assert _cuts(spark.createDataFrame([], "atom int, size long"), 3) == []
 
 
+def test_a_large_group_leaves_the_others_even(spark):
+    rng = random.Random(9)
+    texts = [f"{i} " + "x" * rng.randint(100, 300) for i in range(2000)]
+    rest = sum(len(t) + 16 for t in texts)
+    hot = "hot " * 100
+    copies = rest // 2 // (len(hot) + 16)
+    got = sharding.shard(docs(spark, texts + [hot] * copies), 40).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    top, *others = sorted(size.values(), reverse=True)
+    assert copies * (len(hot) + 16) <= top < copies * (len(hot) + 16) + 2000
+    assert len(size) >= 39 and others[0] <= rest / 39 * 1.15
+    for sizes, shards, want in (([16, 5000, 16], 2, [1]), ([16, 5000, 16], 3, [1, 2]), ([5000, 16, 16], 3, [1, 2]), ([16, 16, 5000], 2, [2])):
+        cuts = _cuts(spark.createDataFrame(list(enumerate(sizes)), "atom int, size long"), shards)
+        assert len(cuts) < shards and (cuts == want or shards == 2)
+
+
 def test_shard(spark):
     rng = random.Random(6)
     texts = [*EDGE, *("copy " * 5 for _ in range(40)), *("".join(rng.choice("abé ") for _ in range(rng.randint(0, 300))) for _ in range(300))]
