@@ -16,14 +16,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import shipped, written
@@ -37,6 +36,11 @@ WEIGHTS = np.array([(1 + q / 15) * (1 + 0.7 * t) for q in range(16) for t in ran
 _TF_CLASS = np.array([0, *(min(7, int(math.log2(x))) for x in range(1, 256))], np.int64)
 
 
+def _key(text_col: str) -> Column:
+    """What tells texts apart: 128 bits of SHA-256. A null text counts as the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 16)
+
+
 def _frequencies(docs: DataFrame, text_col: str, width: int) -> bytes:
     """The idf level (0 to 15) of each of the BUCKETS buckets of shingle hashes, one byte each."""
 
@@ -124,19 +128,16 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, levels, width: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(levels.value, width)
         for batch in batches:
-            text = batch.column(1)
-            for s, e, d, o in slices(text):
+            for s, e, d, o in slices(batch.column(2)):
                 u, level, ptr = weigh(d, o)
                 hashes = band_hashes(u, level, ptr, bands, rows).astype(np.int64, copy=False).view(np.int64)
                 own = ptr[:-1] < ptr[1:]
-                raw = d.tobytes()
-                digest = [hashlib.blake2b(raw[o[i] : o[i + 1]], digest_size=16).digest() if own[i] else None for i in range(e - s)]
                 offsets = np.concatenate(([0], np.cumsum(own * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(hashes).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(digest, pa.binary()), lists], names=["id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), lists], names=["id", "same", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, same binary, bands array<long>")
+    return docs.select(docs[id_col].alias("id"), _key(text_col).alias("same"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, same binary, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,26 +191,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> DataFrame:
-    """One row per row of docs: id_col, class_id, text_id, kept.
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, same, bands) and distinct texts that have words (same, rep, class_id, stays).
 
-    class_id is the smallest id of the texts connected by links of at least threshold (weighted Jaccard similarity of
-    width-word shingles of the whole texts), text_id the smallest id with the very same text; kept marks
-    the rows whose id is their class_id. Words are compared as they stand. A text of fewer words than width is one shingle. A text that
-    is null or has no word is a class of its own, named by its id. A null id takes the class of its text, null if
-    no other row has it. Rows repeated with the same id are all returned. An empty table gives an empty table.
-    Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in
-    blocks of so many members.
+    rep is the smallest id of the text, stays marks one text of each class: that of the smallest id, then of the least digest.
     """
     spark = shipped(docs).sparkSession
     levels = spark.sparkContext.broadcast(_frequencies(docs, text_col, width))  # BUCKETS bytes
     signed = written(_signatures(docs, id_col, text_col, levels, width, bands, rows), "near-signed")
-    reps = written(signed.filter("bands is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
-    exploded = reps.filter("rep is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    reps = written(signed.filter("size(bands) > 0").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "near-reps")
+    exploded = reps.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     shared = written(exploded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
     members = written(exploded.join(shared.hint("merge"), "bucket").select("bucket", "id", "lead"), "near-members")
-    wanted = members.select("id").distinct()
-    texts = written(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(wanted.hint("merge"), F.col("i") == F.col("id"), "left_semi").select(F.col("i").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
+    wanted = written(reps.select("same", "rep", "node").join(members.select("id").distinct().hint("merge"), F.col("node") == F.col("id"), "left_semi"), "near-wanted")
+    rows_of = docs.select(_key(text_col).alias("s"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    of_text = (F.col("s") == F.col("same")) & F.col("i").eqNullSafe(F.col("rep"))
+    texts = written(rows_of.join(wanted.hint("merge"), of_text).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
     found, round_no = [], 0
     labels = None
     while True:
@@ -229,10 +226,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             links = links.unionByName(written(_crossing(members, texts, levels, width, threshold, block), "near-crossing"))
             labels = components(links)
             break
-    of_rep = labels.select(F.col("id").alias("r"), "label").hint("merge")
-    classed = written(reps.select("same", "rep").join(of_rep, F.col("rep") == F.col("r"), "left").select("same", "rep", F.coalesce("label", "rep").alias("class_id")), "near-class-of-text")
-    out = signed.select("id", "same").join(classed.hint("merge"), "same", "left")
-    own = lambda c: F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col(c))
+    of_node = labels.select(F.col("id").alias("n"), "label").hint("merge")
+    named = reps.select("same", "rep", "node").join(of_node, F.col("node") == F.col("n"), "left").select("same", "rep", F.coalesce("label", "node").alias("label"))
+    named = written(named, "near-named")
+    first = written(named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "same")).alias("first")), "near-first")
+    classed = named.join(first.hint("merge"), "label").select("same", "rep", F.col("first.rep").alias("class_id"), (F.col("same") == F.col("first.same")).alias("stays"))
+    return signed, written(classed, "near-class-of-text")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> DataFrame:
+    """One row per row of docs: id_col, class_id, text_id, kept.
+
+    class_id is the smallest id of the texts connected by links of at least threshold (weighted Jaccard similarity of
+    width-word shingles of the whole texts), text_id the smallest id with the very same text; kept marks
+    the rows whose id is their class_id. Words are compared as they stand. A text of fewer words than width is one shingle. A text that
+    is null or has no word is a class of its own, named by its id. A null id takes the class of its text, null if
+    no row of the class has another. Texts are told apart by their digest, so equal ids of different texts don't meet. Rows repeated
+    with the same id are all returned. An empty table gives an empty table.
+    Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in
+    blocks of so many members.
+    """
+    signed, classed = _classes(docs, id_col, text_col, threshold, width, bands, rows, leader_rounds, block)
+    out = signed.select("id", "same", (F.size("bands") == 0).alias("bare")).join(classed.hint("merge"), "same", "left")
+    own = lambda c: F.when(F.col("bare"), F.col("id")).otherwise(F.col(c))
     out = out.select(F.col("id").alias(id_col), own("class_id").alias("class_id"), own("rep").alias("text_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
 
@@ -312,7 +328,13 @@ def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshol
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each class (that of the smallest id); all columns as they were. Cases as in near_groups()."""
-    staying = near_groups(docs, id_col, text_col, **how).filter("kept").select(F.col(id_col).alias("_k")).distinct()
-    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"))
-    return named.join(staying.hint("merge"), F.col("_i").eqNullSafe(F.col("_k")), "left_semi").dropDuplicates(["_i"]).select("_row.*")
+    """docs with one row of each class (that of the smallest id, then of the least digest); all columns as they were.
+
+    Classes are those of texts, as in near_groups(), whatever the ids: rows with a null id, or with an id that another text has, stay
+    unless their text's class has a smaller one. Of texts without a word, one row stays for each id and text.
+    """
+    signed, classed = _classes(docs, id_col, text_col, **how)
+    bare = signed.filter("size(bands) = 0").select("same", F.col("id").alias("rep")).distinct()
+    staying = classed.filter("stays").select("same", "rep").unionByName(bare).hint("merge")
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), _key(text_col).alias("_s"))
+    return named.join(staying, (F.col("_s") == F.col("same")) & F.col("_i").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["_s", "_i"]).select("_row.*")

@@ -139,6 +139,18 @@ def test_near_groups_against_all_pairs(spark):
     assert near_dedup.near_groups(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_ids_that_are_null_or_clash(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(6)]
+    a, b, c, d, e, f = (" ".join(x) for x in base)
+    near_e = " ".join([*base[4][:-1], "other"])
+    ids, texts = [None, None, None, 5, 5, None, 9, 9, None, None], [a, b, a, c, d, e, near_e, f, " ", ""]
+    out = near_dedup.drop_near(docs(spark, texts, ids)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(None, a), (None, b), (5, c), (5, d), (9, near_e), (9, f), (None, " "), (None, "")])
+    got = Counter((r["doc_id"], r["class_id"], r["text_id"]) for r in near_dedup.near_groups(docs(spark, texts, ids)).collect())
+    assert got == Counter({(None, None, None): 5, (5, 5, 5): 2, (None, 9, None): 1, (9, 9, 9): 2})
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 100)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()))
