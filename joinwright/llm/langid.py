@@ -22,13 +22,14 @@ from pyspark.sql import types as T
 from .scratch import shipped
 
 #: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that they
-#: come from in the mean, languages, and characters that have a code of their own.
+#: come from in the mean, languages. ALPHABET: characters whose moves are in the dense table; those of all others are in a sparse one.
 TRAIN_CHARS, TRAIN_TOTAL, TRAIN_ROWS, MOST_LANGUAGES, ALPHABET = 20_000, 200_000, 400, 200, 62
 SEGMENT = 2048
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of codes as a table of moves (state * width + code -> next state * width; 0: none, for no move leads to the start)."""
+def automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix automaton of codes as a table of moves (state * width + code -> next state * width; 0: none, for no move leads to the start)
+    and rows of moves by codes from width on: state, code, next state."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -54,11 +55,14 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros(len(moves) * width, np.int32)
+    table, rare = np.zeros(len(moves) * width, np.int32), []
     for state, out in enumerate(moves):
         for c, to in out.items():
-            table[state * width + c] = to * width
-    return table
+            if c < width:
+                table[state * width + c] = to * width
+            else:
+                rare.append((state, c, to))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 _FRESH = np.int32(1 << 30)
@@ -85,15 +89,19 @@ class Model:
         self.langs = sorted(texts)
         known = {k: points(texts[k]) for k in self.langs}
         seen, often = np.unique(np.concatenate([*known.values(), np.empty(0, np.uint32)]), return_counts=True)
-        chars = seen[np.lexsort((seen, -often))][:ALPHABET].tolist()
-        # 0 pads, 1 stands for all characters without a code
-        self.width = 1 << max(1, (len(chars) + 1).bit_length())
-        self.code = np.ones(0x110000, np.uint8)
-        self.code[chars] = np.arange(2, len(chars) + 2)
-        tables, starts, at = [], [], 0
+        chars = seen[np.lexsort((seen, -often))]
+        # 0 pads, 1 stands for all characters that no language has; from width on are those of the sparse table
+        dense = len(chars[:ALPHABET])
+        self.width = 1 << max(1, (dense + 1).bit_length())
+        self.code = np.ones(0x110000, np.int32)
+        self.code[chars[:ALPHABET]] = np.arange(2, dense + 2)
+        self.code[chars[ALPHABET:]] = np.arange(self.width, self.width + len(chars) - dense)
+        self.rare = len(chars) - dense
+        tables, starts, at, keys, nexts = [], [], 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in self.langs:
-            own = [x for x in self.code[known[k]].tolist() if x > 1]
-            t = automaton(own, self.width)
+            t, far = automaton(self.code[known[k]].tolist(), self.width)
+            keys.append((at // self.width + far[:, 0]) * self.rare + far[:, 1] - self.width)
+            nexts.append(at + far[:, 2] * self.width)
             # A missing move ends the phrase and starts the next with the same character: the move of the start state. All moves that
             # start a phrase are marked. A character that the language never has is a phrase of its own and leads to the start.
             first = np.tile(t[: self.width], len(t) // self.width)
@@ -105,8 +113,23 @@ class Model:
             at += len(t)
         self.table = np.concatenate(tables) if tables else np.zeros(self.width, np.int32)
         self.starts = np.array(starts, np.int32)
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.nexts = np.concatenate(keys)[order], np.concatenate(nexts)[order].astype(np.int32)
         self.bits = np.array([math.log2(max(2, len(known[k]))) for k in self.langs])
 
+    def _moves(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states by codes of the sparse table, and where there is one."""
+        key = state.astype(np.int64) // self.width * self.rare + (code - self.width)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.nexts[at], self.keys[at] == key
+
+    def _sparse(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What the dense table gives, for codes from width on. state: languages x rows."""
+        start = np.broadcast_to(self.starts[:, None], state.shape)
+        to, known = self._moves(state, code)
+        fresh, begins = self._moves(start, code)
+        return np.where(known & (state != start), to, np.where(begins, fresh, start) | _FRESH)
+
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of phrases (languages x rows) of codes (steps x rows), each parsed from its top; a pad changes nothing."""
         steps, rows = codes.shape
@@ -114,8 +137,14 @@ class Model:
         state = np.repeat(self.starts[:, None], rows, axis=1)
         for t in range(steps):
             state &= _FRESH - 1
-            state += codes[t]
-            state = self.table.take(state)
+            far = np.flatnonzero(codes[t] >= self.width) if self.rare else ()
+            if len(far):
+                moved = self._sparse(state[:, far], codes[t, far])
+                state = self.table.take(state + np.where(codes[t] < self.width, codes[t], 0))
+                state[:, far] = moved
+            else:
+                state += codes[t]
+                state = self.table.take(state)
             count += state >> 30
         return count
 

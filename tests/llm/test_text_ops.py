@@ -44,6 +44,22 @@ def test_phrases_are_longest_matches():
         assert model.phrases(codes)[:, 0].tolist() == [longest_matches(spelt(t), spelt(texts[k])) for k in model.langs]
 
 
+def test_every_character_has_a_code():
+    rng = random.Random(4)
+    scripts = {"el": range(0x3B1, 0x3CA), "en": range(97, 123), "ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xB000), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5200)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(1, 5))) for _ in range(150)] for k, v in scripts.items()}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    texts = {k: say(k, 100 if k == "el" else 400) for k in scripts}
+    model = langid.Model(texts)
+    assert model([say(k, 12) for k in scripts])[0] == sorted(scripts)
+    spelt = lambda s: "".join(map(chr, langid.points(s)))
+    mixed = [" ".join(say(rng.choice(sorted(scripts)), 2) for _ in range(15)) + " жњ龍" for _ in range(20)]
+    codes = [model.code[langid.points(t)] for t in mixed]
+    steps = max(map(len, codes))
+    found = model.phrases(np.array([np.pad(c, (0, steps - len(c))) for c in codes]).T)
+    assert found.T.tolist() == [[longest_matches(spelt(t), spelt(texts[k])) for k in model.langs] for t in mixed]
+
+
 def test_identify(spark):
     texts = {"en": "the cat sat on the mat and the dog ran away " * 20, "fr": "le chat est sur le tapis et la souris mange du fromage " * 20}
     rows = [(1, "the dog sat on the cat", None, None), (2, "la souris est sur le tapis", "x", None), (3, None, None, None), (4, "", None, None), (5, "12 34 !?", None, None), (6, "the mat " * 3000, None, None), (None, "日本語", None, None)]
