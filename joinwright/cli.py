@@ -23,7 +23,9 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     j = sub.add_parser("join", help="join generated or read relations")
     j.add_argument("-a", "--algorithm", default="RHO", choices=sorted(joins.REGISTRY))
-    j.add_argument("-d", "--dataset", choices=[k for k, v in DATA_SETS.items() if v.r_rows])
+    j.add_argument("-d", "--dataset", choices=sorted(DATA_SETS), help="C and D take key columns of the tables in --data")
+    j.add_argument("--data", help="folder of Parquet tables, or of .tbl files with --scale")
+    j.add_argument("--scale", type=int)
     j.add_argument("-r", "--r-size", type=int, default=1 << 21)
     j.add_argument("-s", "--s-size", type=int, default=1 << 21)
     j.add_argument("-t", "--t-size", type=int, default=1 << 21)
@@ -36,16 +38,17 @@ def parser() -> argparse.ArgumentParser:
     j.add_argument("-l", "--selectivity", type=int, default=100)
     j.add_argument("-q", "--queries", type=int, default=1, help="joins at once")
     j.add_argument("-p", "--delay-ms", type=int, default=0)
-    j.add_argument("-c", "--chunk-rows", type=int, default=4096, help="rows of a sealed chunk")
+    j.add_argument("-c", "--chunk-kb", type=int, default=0, help="KB of a sealed chunk; 0 seals in chunks of 4096 rows")
+    j.add_argument("-k", "--cracking-threshold", type=int, default=1, help="radix partitions of S with fewer rows are never split")
     j.add_argument("-e", "--log-matches", metavar="PATH")
-    j.add_argument("-u", "--materialize", metavar="PATH", help="write the joined rows here")
-    j.add_argument("--r-path")
-    j.add_argument("--s-path")
+    j.add_argument("--materialize", metavar="PATH", help="write the joined rows here")
+    j.add_argument("--r-path", help="key file of R")
+    j.add_argument("-u", "--s-path", help="key file of S")
     j.add_argument("--sort-r", action="store_true")
     j.add_argument("--sort-s", action="store_true")
     j.add_argument("--seal", metavar="HEXKEY")
     j.add_argument("--three-way-join", action="store_true")
-    j.add_argument("-k", "--repetitions", type=int, default=1)
+    j.add_argument("--repetitions", type=int, default=1)
     q = sub.add_parser("query", help="a query pipeline")
     q.add_argument("-q", "--query", type=int, nargs="+", default=[12], choices=[3, 10, 12, 19])
     q.add_argument("--data", required=True, help="folder of Parquet tables, or of .tbl files with --scale")
@@ -53,27 +56,37 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _table(spark: SparkSession, a: argparse.Namespace, name: str) -> DataFrame:
+    return files.read_tbl(spark, files.tbl_path(name, a.scale, a.data), name) if a.scale is not None else files.table(spark, a.data, name)
+
+
 def _relations(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    if a.dataset:
-        a.r_size, a.s_size = DATA_SETS[a.dataset].r_rows, DATA_SETS[a.dataset].s_rows
+    of = DATA_SETS.get(a.dataset)
+    if of and of.r_column:
+        if not a.data:
+            raise SystemExit(f"data set {a.dataset} needs --data")
+        r, s = (files.relation(_table(spark, a, t), c) for t, c in (of.r_column, of.s_column))
+        return (r.orderBy("key") if a.sort_r else r), (s.orderBy("key") if a.sort_s else s)
+    if of:
+        a.r_size, a.s_size = of.r_rows, of.s_rows
     r = files.read_keys(spark, a.r_path) if a.r_path else generators.pk(spark, a.r_size, a.r_seed)
     s = generators.probe_side(spark, a.s_size, a.r_size, a.s_path, a.skew, a.selectivity, a.s_seed)
     return (r.orderBy("key") if a.sort_r else r), (s.orderBy("key") if a.sort_s else s)
 
 
 def run_join(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
-    cfg = joins.JoinConfig(threads=a.threads, radix_bits=a.bits, memory_bytes=a.memory_mb << 20)
+    cfg = joins.JoinConfig(threads=a.threads, radix_bits=a.bits, memory_bytes=a.memory_mb << 20, split_rows=a.cracking_threshold)
     r, s = _relations(spark, a)
     key = bytes.fromhex(a.seal) if a.seal else None
     if a.three_way_join:
         t = generators.fk(spark, a.t_size, a.s_size)
         if key:
-            sealed = [sealing.seal(x, key, chunk_rows=a.chunk_rows) for x in (r, s, t)]
+            sealed = [sealing.seal(x, key, chunk_bytes=a.chunk_kb << 10 or None) for x in (r, s, t)]
             result = lambda: sealing.unseal(sealing.sealed_three_way(*sealed, key, cfg), key)
         else:
             result = lambda: joins.three_way(r, s, t, cfg)
     elif key:
-        sealed = [sealing.seal(x, key, chunk_rows=a.chunk_rows) for x in (r, s)]
+        sealed = [sealing.seal(x, key, chunk_bytes=a.chunk_kb << 10 or None) for x in (r, s)]
         result = lambda: sealing.unseal(sealing.sealed_join(*sealed, key, a.algorithm, cfg), key)
     else:
         result = lambda: joins.join(a.algorithm, r, s, cfg)
@@ -93,7 +106,7 @@ def run_join(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
 
 def run_queries(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
     def t(name: str) -> DataFrame:
-        df = files.read_tbl(spark, files.tbl_path(name, a.scale, a.data), name) if a.scale is not None else files.table(spark, a.data, name)
+        df = _table(spark, a, name)
         return tpch.with_derived(df, 0) if name == "lineitem" else tpch.with_derived(df, 1) if name == "part" else df
 
     each = {

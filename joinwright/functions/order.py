@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import placed_rows
+
 
 def sort_relation(r: DataFrame) -> DataFrame:
     """r by key, ascending: a range exchange, then a sort in each partition. Payloads travel with their keys."""
@@ -14,8 +16,12 @@ def sort_relation(r: DataFrame) -> DataFrame:
 def first_violation(r: DataFrame, place: str = "payload") -> DataFrame:
     """One row: is_sorted, and the first place whose key is less than that of the place before (null if none).
 
-    Places are dense row numbers, so each row meets its predecessor by an equi-join instead of one window over all rows.
+    Places may have gaps. Rows are compared with their predecessor inside range partitions by place; the first row of a partition
+    with the last of the one before, a row for each partition.
     """
-    before = r.select((F.col(place) + 1).alias(place), F.col("key").alias("before"))
-    bad = r.select(place, "key").join(before, place).filter("key < before").agg(F.min(place).alias("first_violation"))
+    kept = placed_rows(r.select(F.col(place).alias("place"), "key"), ["place", "key"], "places")
+    inside = kept.withColumn("before", F.lag("key").over(Window.partitionBy("_part").orderBy("_row")))
+    ends = kept.groupBy("_part").agg(F.min_by(F.struct("place", "key"), "_row").alias("first"), F.max_by("key", "_row").alias("last"))
+    seams = ends.select(F.col("first.place").alias("place"), F.col("first.key").alias("key"), F.lag("last").over(Window.orderBy("_part")).alias("before"))
+    bad = inside.select("place", "key", "before").unionByName(seams).filter("key < before").agg(F.min("place").alias("first_violation"))
     return bad.select(F.col("first_violation").isNull().alias("is_sorted"), "first_violation")

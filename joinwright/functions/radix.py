@@ -1,4 +1,4 @@
-"""Radix of keys, powers of two, and how many radix bits a relation wants."""
+"""Radix of keys, and how many radix bits a relation wants."""
 
 from __future__ import annotations
 
@@ -14,19 +14,6 @@ def radix(key: Column | str, bits: int, shift: int = 0) -> Column:
     return F.shiftright(key, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
 
 
-def next_power_of_two(n: int) -> int:
-    """The least power of two that is at least n (1 for n < 1)."""
-    return 1 << max(0, n - 1).bit_length()
-
-
-def bit_is_set(n: int, bit: int) -> bool:
-    return bool(n >> bit & 1)
-
-
-def with_bit(n: int, bit: int, value: bool) -> int:
-    return n | 1 << bit if value else n & ~(1 << bit)
-
-
 def radix_bits(rows: int, threads: int, tuple_bytes: int = 8, cache_bytes: int = 2 << 20) -> int:
     """Bits so that a partition of `rows` fits into the cache, and there is a partition for each thread."""
     fit = math.ceil(math.log2(max(1.0, rows * tuple_bytes / cache_bytes)))

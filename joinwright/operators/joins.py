@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.memory import plan_chunks
@@ -21,7 +21,8 @@ from ..functions.radix import radix, radix_bits
 class JoinConfig:
     """threads: partitions that a radix join wants at least. radix_bits: -1 chooses by the size of R. memory_bytes: of the chunked joins, 0
     for no bound. broadcast_rows: R is broadcast up to so many rows. nested_loop_pairs: most pairs a nested loop tries. hot_share:
-    radix partitions of S with more than hot_share times the mean are split."""
+    radix partitions of S with more than hot_share times the mean are split. split_rows: radix partitions of S with fewer rows never are (the
+    cracking threshold). scans: a chunked join reads S so many times at most."""
 
     threads: int = 8
     radix_bits: int = 13
@@ -30,12 +31,14 @@ class JoinConfig:
     nested_loop_pairs: int = 1_000_000_000
     hot_share: float = 4.0
     blocks: int = 4
+    split_rows: int = 1
+    scans: int = 16
 
     def __post_init__(self):
         if self.threads < 1 or self.threads & (self.threads - 1):
             raise ValueError("threads must be a power of two")
-        if not -1 <= self.radix_bits <= 24 or self.memory_bytes < 0 or self.blocks < 1:
-            raise ValueError("radix_bits is -1 to 24, memory_bytes 0 or more, blocks 1 or more")
+        if not -1 <= self.radix_bits <= 24 or self.memory_bytes < 0 or min(self.blocks, self.split_rows, self.scans) < 1:
+            raise ValueError("radix_bits is -1 to 24, memory_bytes 0 or more, blocks, split_rows and scans 1 or more")
 
 
 def _sides(r: DataFrame, s: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +55,8 @@ def _hinted(r: DataFrame, s: DataFrame, hint: str) -> DataFrame:
 
 
 def shuffled_hash(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Both sides by a hash of the key; a hash table of each partition of R. Hot partitions of S are split at run time."""
+    """Both sides by a hash of the key; a hash table of each partition of R. Partitions of either side that are far over the median are
+    split at run time (adaptive execution), the other side's rows going to each part."""
     return _hinted(r, s, "shuffle_hash")
 
 
@@ -111,22 +115,24 @@ def radix_simple(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def radix_split(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """As radix_simple, but radix partitions of S that are far larger than the mean are split, and R's rows of them go to each part.
+    """Radix partitions of S that are far larger than the mean are split, and R's rows of them go to each part; without any, as radix_fused.
 
-    The histogram has 2^bits rows at most, which bounds what is broadcast.
+    The histogram of S has 2^bits rows at most; it's counted first, and what is broadcast are its hot rows, 2^bits / hot_share at most.
+    A row of S goes to the part that its key and payload say, so a task that runs again deals alike.
     """
     bits = bits_for(r, cfg)
-    n, pid = _partitions(r, bits), radix("key", bits)
+    pid = radix("key", bits)
     counts = s.groupBy(pid.alias("pid")).agg(F.count("*").alias("n"))
-    fair = cfg.hot_share * F.avg("n").over(Window.partitionBy(F.lit(0)))
-    counts = counts.select("pid", "n", fair.alias("fair"))
-    parts = F.broadcast(counts.filter("n > fair").select("pid", F.ceil(F.col("n") / F.col("fair")).cast("int").alias("parts")))
+    rows, mean = counts.agg(F.count("*"), F.avg("n")).first()
+    fair = max(float(cfg.split_rows), cfg.hot_share * (mean or 0))
+    parts = counts.filter(F.col("n") > fair).select("pid", F.ceil(F.col("n") / F.lit(fair)).cast("int").alias("parts"))
+    if rows < 2 or parts.isEmpty():
+        return radix_fused(r, s, cfg)
     a, b = _sides(r.withColumn("pid", pid), s.withColumn("pid", pid), "pid")
-    a = a.join(parts, "pid", "left").select("key", "r_payload", "pid", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    dealt = F.pmod(F.xxhash64("s_payload", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")
-    b = b.join(parts, "pid", "left").select("key", "s_payload", "pid", dealt.alias("part"))
-    keys = ["pid", "part"]
-    return _out(a.repartition(n, *keys).hint("shuffle_hash").join(b.repartition(n, *keys), [*keys, "key"]))
+    a = a.join(F.broadcast(parts), "pid", "left").select("key", "r_payload", "pid", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = F.pmod(F.xxhash64("key", "s_payload"), F.coalesce("parts", F.lit(1))).cast("int")
+    b = b.join(F.broadcast(parts), "pid", "left").select("key", "s_payload", "pid", dealt.alias("part"))
+    return _out(a.hint("shuffle_hash").join(b, ["pid", "part", "key"]))
 
 
 def radix_fused(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
@@ -143,23 +149,35 @@ def _chunks(r: DataFrame, s: DataFrame, cfg: JoinConfig, **how) -> int:
     return plan_chunks(r.count(), s.count(), cfg.memory_bytes, min(24, max(1, bits_for(r, cfg))), **how).chunks
 
 
+def _chunked(r: DataFrame, s: DataFrame, cfg: JoinConfig, hint: str, **how) -> DataFrame:
+    """R in chunks of keys; S is read again for each chunk, of which it keeps the keys. More chunks than cfg.scans share scans, in partitions."""
+    n = min(cfg.scans, _chunks(r, s, cfg, **how))
+    if n == 1:
+        return _hinted(r, s, hint)
+    chunk = F.pmod(F.xxhash64("key"), F.lit(n))
+    out = None
+    for i in range(n):
+        part = _hinted(r.filter(chunk == i), s.filter(chunk == i), hint)
+        out = part if out is None else out.union(part)
+    return out
+
+
 def chunked_merge(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """R in chunks of keys that fit into the memory given, each with the rows of S that can match; sorted, so that even one key's rows spill."""
-    n = max(_chunks(r, s, cfg), int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a, b = _sides(r, s)
-    return _out(a.repartition(n, "key").hint("merge").join(b.repartition(n, "key"), "key"))
+    """R in chunks that fit into the memory given, S read again for each; sorted, so that even one key's rows spill."""
+    return _chunked(r, s, cfg, "merge")
 
 
 def chunked_hash(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
     """As chunked_merge with a hash table of each chunk; the histogram is held to a quarter of the memory."""
-    n = max(_chunks(r, s, cfg, probe_floor=1 / 32, histogram_share=1 / 4), int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a, b = _sides(r, s)
-    return _out(a.repartition(n, "key").hint("shuffle_hash").join(b.repartition(n, "key"), "key"))
+    return _chunked(r, s, cfg, "shuffle_hash", probe_floor=1 / 32, histogram_share=1 / 4)
 
 
 def partition_only(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Both sides are partitioned by radix and nothing is joined: no rows."""
-    return radix_simple(r, s, cfg).filter(F.lit(False))
+    """Both sides are partitioned by radix and nothing is joined: (side, pid, n), the rows of each radix partition."""
+    bits = bits_for(r, cfg)
+    n, pid = _partitions(r, bits), radix("key", bits)
+    sized = [x.select(F.lit(side).alias("side"), pid.alias("pid")).repartition(n, "pid").groupBy("side", "pid").agg(F.count("*").alias("n")) for side, x in (("r", r), ("s", s))]
+    return sized[0].union(sized[1])
 
 
 Strategy = Callable[[DataFrame, DataFrame, JoinConfig], DataFrame]
@@ -170,7 +188,6 @@ REGISTRY: dict[str, Strategy] = {
     "RHO": shuffled_hash,
     "RHT": shuffled_hash,
     "CRKJ": radix_split,
-    "CrkJoin": radix_split,
     "CRKJ_st": radix_split,
     "CRKJS": radix_simple,
     "CRKJS_st": radix_simple,
@@ -187,15 +204,17 @@ REGISTRY: dict[str, Strategy] = {
 
 
 def join(name: str, r: DataFrame, s: DataFrame, cfg: JoinConfig | None = None) -> DataFrame:
-    """(key, r_payload, s_payload) for each pair of rows with equal keys. Null keys match nothing."""
+    """(key, r_payload, s_payload) for each pair of rows with equal keys. Null keys match nothing. CRKJ_po gives partition_only() instead."""
     if name not in REGISTRY:
         raise ValueError(f"no join is named {name!r}; there are {', '.join(REGISTRY)}")
     return REGISTRY[name](r, s, cfg or JoinConfig())
 
 
 def join_count(name: str, r: DataFrame, s: DataFrame, cfg: JoinConfig | None = None) -> DataFrame:
-    """One row: n_matches."""
-    return join(name, r, s, cfg).agg(F.count("*").alias("n_matches"))
+    """One row: n_matches; 0 of the rows that CRKJ_po partitions."""
+    joined = join(name, r, s, cfg)
+    matches = F.sum(F.when(F.col("side").isin("r", "s"), 0).otherwise(F.col("n"))) if name == "CRKJ_po" else F.count("*")
+    return joined.agg(F.coalesce(matches, F.lit(0)).cast("bigint").alias("n_matches"))
 
 
 def three_way(r: DataFrame, s: DataFrame, t: DataFrame, cfg: JoinConfig | None = None, name: str = "RHO") -> DataFrame:

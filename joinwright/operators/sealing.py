@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
 from .joins import JoinConfig, join, three_way
 from .projections import to_relation
 
 AAD = "sealed-relation"
+ROW_BYTES = 16
+#: What encryption adds to a chunk: a vector of 12 bytes, a tag of 16.
+CHUNK_BYTES = 28
 
 
 def _encrypt(plain: Column, key: bytes, aad: str) -> Column:
@@ -20,17 +24,21 @@ def _encrypt(plain: Column, key: bytes, aad: str) -> Column:
     return F.aes_encrypt(plain, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(aad.encode()))
 
 
-def seal(r: DataFrame, key: bytes, aad: str = AAD, chunk_rows: int = 4096) -> DataFrame:
-    """(chunk, blob): rows of a relation in chunks of at most chunk_rows, each encrypted as one. Keys are 16, 24 or 32 bytes.
+def seal(r: DataFrame, key: bytes, aad: str = AAD, chunk_rows: int = 4096, chunk_bytes: int | None = None) -> DataFrame:
+    """(chunk, blob): rows of a relation in chunks of chunk_rows (the last one of fewer), or of as many as chunk_bytes bytes hold; each is
+    encrypted as one. Keys are 16, 24 or 32 bytes.
 
-    Rows are chunked where they are; a chunk's rows meet in one task, so its size bounds the memory.
+    A row is packed in ROW_BYTES bytes. Rows are numbered in a written table, so that a task which runs again chunks alike; a chunk's rows
+    meet in one task, so its size bounds the memory.
     """
     if len(key) not in (16, 24, 32):
         raise ValueError("the key must have 16, 24 or 32 bytes")
-    at = F.monotonically_increasing_id()
-    chunk = F.shiftleft(F.shiftright(at, 33), 33) + F.floor(at.bitwiseAND((1 << 33) - 1) / chunk_rows)
-    grouped = r.select("key", "payload", chunk.alias("chunk")).groupBy("chunk").agg(F.collect_list(F.struct("key", "payload")).alias("rows"))
-    return grouped.select("chunk", _encrypt(F.encode(F.to_json("rows"), "UTF-8"), key, aad).alias("blob"))
+    if chunk_bytes is not None:
+        chunk_rows = max(1, chunk_bytes // ROW_BYTES)
+    packed = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("key", "payload")])
+    dense = numbered(r.select("key", "payload"), what="sealing")
+    grouped = dense.select(F.floor(F.col("i") / chunk_rows).cast("bigint").alias("chunk"), packed.alias("row")).groupBy("chunk").agg(F.collect_list("row").alias("rows"))
+    return grouped.select("chunk", _encrypt(F.unhex(F.array_join("rows", "")), key, aad).alias("blob"))
 
 
 def sealed_bytes(sealed: DataFrame) -> DataFrame:
@@ -40,9 +48,10 @@ def sealed_bytes(sealed: DataFrame) -> DataFrame:
 
 def unseal(sealed: DataFrame, key: bytes, aad: str = AAD) -> DataFrame:
     """(key, payload); the query fails if a blob was changed or sealed with another key or other associated data."""
-    plain = F.decode(F.aes_decrypt("blob", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad.encode())), "UTF-8")
-    rows = F.from_json(plain, "array<struct<key:bigint,payload:bigint>>")
-    return sealed.select(F.explode(rows).alias("x")).select("x.key", "x.payload")
+    plain = F.hex(F.aes_decrypt("blob", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad.encode())))
+    row = sealed.select(F.explode(F.regexp_extract_all(plain, F.lit(f"[0-9A-F]{{{2 * ROW_BYTES}}}"), F.lit(0))).alias("x"))
+    number = lambda at: F.conv(F.substring("x", at, 16), 16, -10).cast("bigint")
+    return row.select(number(1).alias("key"), number(17).alias("payload"))
 
 
 def sealed_join(r: DataFrame, s: DataFrame, key: bytes, name: str = "RHO", cfg: JoinConfig | None = None, aad: str = AAD) -> DataFrame:

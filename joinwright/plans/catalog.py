@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import order
 from ..functions.radix import radix
 from ..operators import cardinality, joins, partitioning, projections, sealing
-from ..sources import generators, sinks
+from ..schema import TBL
+from ..sources import files, generators, sinks
 from ..sources.files import relation, table
+from ..sources.shared import new_path
 from . import concurrent, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,35 @@ def _joined(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"]).select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("bigint").alias("r_payload"), F.col("o_orderkey").alias("s_payload"), "c_nationkey", "o_orderkey")
 
 
+def _as_tbl(spark: SparkSession, d: str, name: str) -> str:
+    """Path of a pipe-separated file with the rows of a test table, as such files come: all columns, an end mark, quotes where needed."""
+    df = _lineitem(spark, d) if name == "lineitem" else _part(spark, d) if name == "part" else table(spark, d, name)
+    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TBL[name].fields]
+    path = new_path(spark, f"tbl-{name}")
+    df.select(*cols, F.lit("").alias("_end")).write.csv(path, sep="|", quote='"', escape='"', nullValue="", emptyValue="", dateFormat="yyyy-MM-dd")
+    return path
+
+
+def _from_tbl(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return files.read_tbl(spark, _as_tbl(spark, d, name), name, list(columns))
+
+
+def _key_file(spark: SparkSession, d: str) -> str:
+    """Path of a text file of customer keys, one a line; every tenth line has no number."""
+    path = new_path(spark, "keys")
+    line = F.when(F.col("c_custkey") % 10 == 0, "none").otherwise(F.col("c_custkey").cast("string"))
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    return path
+
+
+def _zipf_law(spark: SparkSession, n: int = 400_000, top: int = 1000, z: float = 0.9) -> DataFrame:
+    """Whether the most frequent keys have the shares of 1 / i^z, within a tenth."""
+    total = sum(1 / i**z for i in range(1, top + 1))
+    most = generators.zipf(spark, n, top, z).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(20)
+    ranked = most.select("n", F.row_number().over(Window.orderBy(F.desc("n"), "key")).cast("bigint").alias("rank"))  # 20 rows
+    return ranked.select("rank", (F.abs(F.col("n") * total * F.pow(F.col("rank").cast("double"), F.lit(z)) / n - 1) < 0.1).alias("within"))
+
+
 def _placed(r: DataFrame) -> DataFrame:
     """Every row at twice its key."""
     return partitioning.placed(r.withColumn("place", F.col("key") * 2), 2 * r.agg(F.max("key")).first()[0] + 1)
@@ -123,11 +154,14 @@ def build() -> tuple[dict[str, Query], dict[str, str]]:
         add(f"join_{name}_count", lambda s, d, n=name: joins.join_count(n, orders_r(s, d), lineitem_s(s, d)), "SELECT CAST(0 AS BIGINT) AS n_matches" if empty else COUNT_SQL)
         if not empty:
             add(f"join_{name}_rows", lambda s, d, n=name: joins.join(n, orders_r(s, d), lineitem_s(s, d)), JOIN_SQL)
+    add("join_CRKJ_po_partitions", lambda s, d: joins.join("CRKJ_po", orders_r(s, d), lineitem_s(s, d), joins.JoinConfig(radix_bits=BITS)), f"SELECT side, CAST(k & {(1 << BITS) - 1} AS INTEGER) AS pid, count(*) AS n FROM (SELECT 'r' AS side, o_orderkey AS k FROM orders UNION ALL SELECT 's', l_orderkey FROM lineitem) GROUP BY 1, 2")
     customer_orders = "SELECT count(*) AS n_matches FROM customer JOIN orders ON c_custkey = o_custkey"
     add("join_customer_orders_count", lambda s, d: joins.join_count("RHO", customer_r(s, d), orders_s(s, d)), customer_orders)
     few = joins.JoinConfig(memory_bytes=400_000, radix_bits=10)
     add("join_MCJoin_bounded_count", lambda s, d: joins.join_count("MCJoin", orders_r(s, d), lineitem_s(s, d), few), COUNT_SQL)
     add("join_PaMeCo_bounded_count", lambda s, d: joins.join_count("PaMeCo", orders_r(s, d), lineitem_s(s, d), few), COUNT_SQL)
+    add("join_MCJoin_bounded_rows", lambda s, d: joins.join("MCJoin", orders_r(s, d), lineitem_s(s, d), few), JOIN_SQL)
+    add("join_PaMeCo_bounded_rows", lambda s, d: joins.join("PaMeCo", orders_r(s, d), lineitem_s(s, d), few), JOIN_SQL)
     add("join_dynamic_bits_count", lambda s, d: joins.join_count("CRKJ", orders_r(s, d), lineitem_s(s, d), joins.JoinConfig(radix_bits=-1)), COUNT_SQL)
     dup = lambda s, d, t, c: table(s, d, t).select(F.col(c).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("payload"))
     add("join_dups_both_sides", lambda s, d: joins.join_count("RHO", dup(s, d, "customer", "c_nationkey"), dup(s, d, "supplier", "s_nationkey")), "SELECT count(*) AS n_matches FROM customer JOIN supplier ON c_nationkey = s_nationkey")
@@ -185,20 +219,33 @@ def build() -> tuple[dict[str, Query], dict[str, str]]:
     add("gen_zipf", lambda s, d: g.zipf(s, 10_000, 1000, 0.9).groupBy("key").agg(F.count("*").alias("n")))
     add("gen_uniform", lambda s, d: g.uniform(s, 10_000, 1000).groupBy("key").agg(F.count("*").alias("n")))
     add("gen_fk_from_pk", lambda s, d: g.tiled(orders_s(s, d).select(F.col("payload").alias("key"), F.col("payload")), 40_000).groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS k FROM orders) JOIN range(40000) r ON r.range % k = i GROUP BY key")
+    add("gen_zipf_law", lambda s, d: _zipf_law(s), "SELECT range + 1 AS rank, true AS within FROM range(20)")
+    add("gen_uniform_range", lambda s, d: g.uniform(s, 100_000, 1000).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"), F.countDistinct("key").alias("keys")), "SELECT CAST(0 AS BIGINT) AS least, CAST(999 AS BIGINT) AS most, CAST(100000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS keys")
     add("gen_from_keys", lambda s, d: g.from_keys(orders_s(s, d).select(F.col("payload").alias("key"), F.col("payload")), 20_000), "SELECT key, r.range AS payload FROM (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS k FROM orders) JOIN range(20000) r ON r.range % k = i")
     add("join_selectivity_count", lambda s, d: joins.join_count("RHO", g.pk(s, 500), g.fk_selective(s, 2000, 500, 50)), "SELECT CAST(1000 AS BIGINT) AS n_matches")
 
+    tbl = lambda name, *c: (lambda s, d: _from_tbl(s, d, name, *c))
+    add("read_tbl_lineitem", tbl("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate", "l_commitdate", "l_receiptdate", "l_shipinstruct", "l_shipmode"), w + "SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate, l_commitdate, l_receiptdate, l_shipinstruct, l_shipmode FROM l")
+    add("read_tbl_orders", tbl("orders", "o_orderkey", "o_custkey", "o_orderdate"), "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+    add("read_tbl_customer", tbl("customer", "c_custkey", "c_nationkey", "c_mktsegment"), "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer")
+    add("read_tbl_part", tbl("part", "p_partkey", "p_brand", "p_size", "p_container"), w + "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size, p_container FROM p")
+    add("read_tbl_nation", tbl("nation", "n_nationkey", "n_name"), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+    add("count_lines", lambda s, d: s.range(1).select(F.lit(files.count_lines(s, _as_tbl(s, d, "orders"))).cast("bigint").alias("n_lines")), "SELECT count(*) AS n_lines FROM orders")
+    add("read_key_file", lambda s, d: files.read_keys(s, _key_file(s, d)), "SELECT CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey END AS key, CAST(0 AS BIGINT) AS payload FROM customer")
     add("sort_relation", lambda s, d: order.sort_relation(orders_s(s, d)), "SELECT o_custkey AS key, o_orderkey AS payload FROM orders ORDER BY 1, 2")
     first = "SELECT min(p) IS NULL AS is_sorted, min(p) AS first_violation FROM (SELECT {k} AS k, {p} AS p, lag({k}) OVER (ORDER BY {p}) AS b FROM {t}) WHERE k < b"
     add("is_sorted", lambda s, d: order.first_violation(orders_s(s, d)), first.format(k="o_custkey", p="o_orderkey", t="orders"))
     add("is_sorted_true", lambda s, d: order.first_violation(relation(t(s, d, "customer"), "c_custkey")), first.format(k="c_custkey", p="c_custkey", t="customer"))
     add("output_size", lambda s, d: sinks.output_bytes(joins.join("RHO", orders_r(s, d), lineitem_s(s, d))), "SELECT count(*) AS n_rows, count(*) * 12 AS n_bytes FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+    add("is_sorted_gaps", lambda s, d: order.first_violation(orders_s(s, d).select("key", (F.col("payload") * 10).alias("payload"))), first.format(k="o_custkey", p="o_orderkey * 10", t="orders"))
     add("sample_rows", lambda s, d: sinks.sample(orders_s(s, d), 20, 10), "SELECT o_custkey AS key, o_orderkey AS payload FROM orders ORDER BY 1, 2 LIMIT 20 OFFSET 10")
 
     add("seal_roundtrip", lambda s, d: sealing.unseal(sealing.seal(orders_r(s, d), KEY), KEY), "SELECT o_orderkey AS key, o_custkey AS payload FROM orders")
     add("sealed_join", lambda s, d: sealing.unseal(sealing.sealed_join(sealing.seal(orders_r(s, d), KEY), sealing.seal(lineitem_s(s, d), KEY), KEY), KEY), "SELECT o_orderkey AS key, o_custkey AS payload FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
     add("sealed_three_way", lambda s, d: sealing.unseal(sealing.sealed_three_way(*(sealing.seal(x, KEY) for x in (customer_r(s, d), orders_s(s, d), customer_r(s, d))), KEY), KEY), "SELECT c_custkey AS key, CAST(c_nationkey AS BIGINT) AS payload FROM customer JOIN orders ON c_custkey = o_custkey")
-    add("sealed_bytes", lambda s, d: sealing.sealed_bytes(sealing.seal(orders_r(s, d), KEY)))
+    packed = f"SELECT CAST(ceil(count(*) / {{per}}) AS BIGINT) AS n_chunks, CAST(count(*) * {sealing.ROW_BYTES} + ceil(count(*) / {{per}}) * {sealing.CHUNK_BYTES} AS BIGINT) AS n_bytes FROM orders"
+    add("sealed_bytes", lambda s, d: sealing.sealed_bytes(sealing.seal(orders_r(s, d), KEY)), packed.format(per="4096.0"))
+    add("sealed_chunk_bytes", lambda s, d: sealing.sealed_bytes(sealing.seal(orders_r(s, d), KEY, chunk_bytes=8192)), packed.format(per="512.0"))
     one = "SELECT CAST({i} AS INTEGER) AS query_id, '{n}' AS name, ({q}) AS n_matches"
     add("concurrent_joins", _concurrent, " UNION ALL ".join(one.format(i=i, n=n, q=customer_orders) for i, n in enumerate(("RHO", "CRKJ", "MJ", "PaMeCo"))))
     counts = {"q3": Q3_SQL, "q10": Q10_SQL.format(*Q10_SHIFTED), "q12": q12(*Q12_SHIFTED), "q19": _q19_sql(50)}

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 R_SEED, S_SEED = 11111, 22222
 
 
@@ -86,40 +88,24 @@ def uniform(spark: SparkSession, n: int, max_id: int, seed: int = S_SEED) -> Dat
     return spark.range(n).select(F.floor(F.rand(seed) * max_id).cast("bigint").alias("key"), F.col("id").alias("payload"))
 
 
-def _numbered(keys: DataFrame) -> tuple[DataFrame, int]:
-    """keys (key, payload) with dense numbers i in order of (payload, key), and how many there are.
-
-    Rows are numbered inside range partitions, whose sizes give the offsets: no window over all rows.
-    """
-    ranged = keys.repartitionByRange("payload", "key").sortWithinPartitions("payload", "key")
-    marked = ranged.select("key", "payload", F.monotonically_increasing_id().alias("m"))
-    part, inner = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
-    base, at = {}, 0
-    for p, k in sizes:
-        base[p], at = at, at + k
-    if not base:
-        return keys.withColumn("i", F.lit(0).cast("bigint")), 0
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in base.items() for x in pair]), part)
-    return marked.select("key", "payload", (offset + inner).cast("bigint").alias("i")), at
-
-
 def tiled(keys: DataFrame, n: int) -> DataFrame:
     """n rows: those of keys in order, again and again; payloads travel along."""
-    numbered, k = _numbered(keys)
+    dense = numbered(keys.select("key", "payload"), "payload", "key", what="tiles")
+    k = dense.count()
     if not k:
         raise ValueError("there are no keys to tile")
     rows = keys.sparkSession.range(n).select((F.col("id") % k).alias("i"))
-    return rows.join(numbered, "i").select("key", "payload")
+    return rows.join(dense, "i").select("key", "payload")
 
 
 def from_keys(keys: DataFrame, n: int) -> DataFrame:
     """n rows numbered by payload whose keys run through those of keys in order, again and again."""
-    numbered, k = _numbered(keys)
+    dense = numbered(keys.select("key", "payload"), "payload", "key", what="choices")
+    k = dense.count()
     if not k:
         raise ValueError("there are no keys to choose from")
     rows = keys.sparkSession.range(n).select((F.col("id") % k).alias("i"), F.col("id").alias("row"))
-    return rows.join(numbered, "i").select("key", F.col("row").alias("payload"))
+    return rows.join(dense, "i").select("key", F.col("row").alias("payload"))
 
 
 def probe_side(spark: SparkSession, n: int, r_rows: int, path: str | None = None, skew: float = 0.0, selectivity: int = 100, seed: int | None = None) -> DataFrame:

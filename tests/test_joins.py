@@ -69,6 +69,27 @@ def test_radix_join_reuses_its_partitioning(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_chunked_joins_read_s_for_each_chunk(spark):
+    cfg = joins.JoinConfig(memory_bytes=2000, radix_bits=6)
+    r, s = relation(spark, range(3000)), relation(spark, [*range(0, 4000, 3), 5, 5])
+    for name in ("MCJoin", "PaMeCo"):
+        joined = joins.join(name, r, s, cfg)
+        assert 1 < joined._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= cfg.scans
+        assert joined.count() == 1002
+
+
+def test_hot_partitions_are_split(spark):
+    cfg = joins.JoinConfig(radix_bits=4)
+    s = relation(spark, [3] * 3000 + [*range(1, 17)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "part" in plan_of(joins.join("CRKJ", relation(spark, range(1, 17)), s, cfg)).split("Initial Plan")[0]
+        assert "explode" not in plan_of(joins.join("CRKJ", relation(spark, range(1, 17)), s, joins.JoinConfig(radix_bits=4, split_rows=4000)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joins.join_count("CRKJ", relation(spark, range(1, 17)), s, cfg).first()[0] == 3016
+
+
 def test_broadcast_checks_size(spark):
     cfg = joins.JoinConfig(broadcast_rows=10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -88,6 +109,7 @@ def test_bounds_and_names(spark):
         with pytest.raises(ValueError):
             joins.JoinConfig(**wrong)
     assert joins.join_count("CRKJ_po", r, r).first()[0] == 0
+    assert sorted(map(tuple, joins.join("CRKJ_po", r, r.limit(3), joins.JoinConfig(radix_bits=1)).collect())) == [("r", 0, 5), ("r", 1, 5), ("s", 0, 2), ("s", 1, 1)]
 
 
 def test_three_way(spark):

@@ -94,11 +94,14 @@ def test_stream(spark, tmp_path):
 
 
 def test_cli(spark, sf, tmp_path):
-    assert cli.main(["join", "-a", "CRKJ", "-r", "100", "-s", "300", "-u", str(tmp_path / "out")])[0]["n_matches"] == 300
+    assert cli.main(["join", "-a", "CRKJ", "-r", "100", "-s", "300", "--materialize", str(tmp_path / "out")])[0]["n_matches"] == 300
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
     assert cli.main(["join", "-r", "10", "-s", "20", "-t", "40", "--three-way-join"])[0]["n_matches"] == 40
     assert cli.main(["join", "-r", "10", "-s", "20", "--seal", "00" * 16])[0]["n_matches"] == 20
     assert [x["n_matches"] for x in cli.main(["join", "-r", "10", "-s", "20", "-q", "2"])] == [20, 20]
+    assert cli.main(["join", "-d", "C", "--data", sf])[0]["n_matches"] == 6000 and cli.main(["join", "-d", "D", "--data", sf, "-k", "100"])[0]["n_matches"] == 1500
+    (tmp_path / "s.txt").write_text("1\n1\n9\n")
+    assert cli.main(["join", "-r", "5", "-u", str(tmp_path / "s.txt"), "-c", "1", "--seal", "00" * 16])[0]["n_matches"] == 2
     assert cli.main(["query", "-q", "3", "--data", sf])[0]["n_matches"] == 44
 
 

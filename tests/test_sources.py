@@ -7,7 +7,7 @@ import pytest
 
 from joinwright.functions import memory, order, radix
 from joinwright.operators import joins, sealing
-from joinwright.sources import files, generators, sinks
+from joinwright.sources import files, generators, shared, sinks
 
 
 def keys(df):
@@ -53,6 +53,33 @@ def test_tiles(spark):
         generators.tiled(base.limit(0), 3)
 
 
+def test_numbers_are_dense_in_many_partitions(spark):
+    keys = generators.pk(spark, 20_000, 5).repartition(16)
+    for name, value in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k"), ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(name, value)
+    try:
+        dense = shared.numbered(keys, "payload", "key")
+        rows = sorted((r["i"], r["payload"]) for r in dense.collect())
+        assert [i for i, _ in rows] == list(range(20_000)) and [p for _, p in rows] == sorted(p for _, p in rows)
+        assert sorted(r["i"] for r in shared.numbered(keys).collect()) == list(range(20_000))
+        tiled = Counter(r["key"] for r in generators.tiled(keys, 50_000).collect())
+        assert tiled.total() == 50_000 and set(tiled.values()) == {2, 3}
+        assert len({r["payload"] for r in generators.from_keys(keys, 30_000).collect()}) == 30_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_written_tables_are_deleted_when_discarded(spark):
+    t = shared.written(spark.range(5), "test")
+    assert t.count() == 5 and t._written_at.removeprefix("file://")
+    shared.discard(t, None)
+    from pathlib import Path
+
+    assert not Path(t._written_at.removeprefix("file://")).exists()
+
+
 def test_uniform_and_precedence(spark, tmp_path):
     assert all(0 <= k < 10 for k in keys(generators.uniform(spark, 100, 10)))
     (tmp_path / "k.txt").write_text("12\nx\n 7 junk\n\n4294967295\n")
@@ -75,6 +102,10 @@ def test_order(spark):
     r = spark.createDataFrame([(3, 0), (5, 1), (4, 2), (1, 3)], "key long, payload long")
     assert tuple(order.first_violation(r).first()) == (False, 2)
     assert tuple(order.first_violation(r.limit(0)).first()) == (True, None)
+    gaps = spark.createDataFrame([(3, 10), (5, 20), (4, 30)], "key long, payload long")
+    assert tuple(order.first_violation(gaps).first()) == (False, 30)
+    many = spark.createDataFrame([(i if i != 700 else 3, 7 * i) for i in range(1000)], "key long, payload long").repartition(9)
+    assert tuple(order.first_violation(many).first()) == (False, 4900)
     assert [x["key"] for x in order.sort_relation(r).collect()] == [1, 3, 4, 5]
 
 
@@ -91,8 +122,6 @@ def test_sinks(spark, tmp_path):
 
 
 def test_radix_helpers():
-    assert [radix.next_power_of_two(n) for n in (0, 1, 2, 3, 1025)] == [1, 1, 2, 4, 2048]
-    assert radix.with_bit(4, 0, True) == 5 and not radix.bit_is_set(4, 0)
     assert radix.radix_bits(2**21, 1) == 3 and radix.radix_bits(10, 16) == 4
 
 
@@ -114,7 +143,10 @@ def test_memory_plan():
 def test_sealing(spark):
     key, r = bytes(16), generators.pk(spark, 50)
     sealed = sealing.seal(r, key, chunk_rows=7).cache()
-    assert sealed.count() >= 8
+    assert sealed.count() == 8
+    small = sealing.seal(spark.createDataFrame([(2**32 - 1, -5), (0, 2**63 - 1)], r.schema), key, chunk_bytes=16)
+    assert small.count() == 2 and sorted(map(tuple, sealing.unseal(small, key).collect())) == [(0, 2**63 - 1), (2**32 - 1, -5)]
+    assert tuple(sealing.sealed_bytes(sealing.seal(r.limit(0), key)).first()) == (0, 0)
     assert sorted(map(tuple, sealing.unseal(sealed, key).collect())) == sorted(map(tuple, r.collect()))
     with pytest.raises(Exception, match="AES|CANNOT_DECRYPT|INVALID_PARAMETER"):
         sealing.unseal(sealed, key, "other").collect()
