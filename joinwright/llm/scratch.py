@@ -1,42 +1,18 @@
-"""Tables written once and read again, in the folder that the cluster shares.
-
-A written table cuts the lineage like a checkpoint, keeps only the columns asked for, and
-survives the loss of the executors that wrote it.
-"""
+"""Tables of the operators in the folder that the cluster shares, and this package on its executors."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
-_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode one of our own if that is unset."""
-    named = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError(f"set {_DIR} to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="joinwright-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set(_DIR, f"file://{own}")
-    return f"file://{own}"
+from pyspark.sql import DataFrame
 
+from ..sources.shared import discard, new_path, numbered, placed_rows, shared_dir, written
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/joinwright/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "new_path", "numbered", "placed_rows", "shared_dir", "shipped", "written"]
 
 
 def shipped(df: DataFrame) -> DataFrame:
