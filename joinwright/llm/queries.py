@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, pii, quality, sharding, warc
-from .scratch import shared_dir
+from .scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,16 +67,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/joinwright/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    back = warc.read_archive(spark, path)
-    return back.select(
-        F.col("id").alias("page_id"),
-        F.col("length").alias("payload_bytes"),
-        F.col("sha1").alias("payload_digest"),
-        F.regexp_extract("header", r"WARC-Type: (\w+)", 1).alias("record_type"),
-        F.regexp_extract("header", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1).try_cast("bigint").alias("refers_to"),
-    )
+    records = warc.record_bytes(warc.read_archive(spark, path))
+    back = warc.resolved(warc.parse_records(records))
+    return back.select(F.col("id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
 QUERIES = {

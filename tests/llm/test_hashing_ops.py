@@ -176,7 +176,21 @@ def test_archive(spark, tmp_path):
     warc.export_warc(archive, str(tmp_path / "w"))
     written = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
     assert Counter(written) == Counter(b"".join(records.values()))
+    parsed = warc.parse_records(warc.record_bytes(archive))
+    for source in (parsed, warc.parse_records(warc.read_warc(spark, str(tmp_path / "w")))):
+        rows = {r["id"]: r for r in source.collect()}
+        assert {i: bytes(r["body"]) for i, r in rows.items()} == {i: b"" if got[i]["kind"] == "revisit" else (h or "").encode() for i, h in enumerate(html)}
+        assert rows[0]["url"] == "http://h/0 X: y" and rows[2]["url"] == "" and all((r["kind"], r["refers_to"]) == (got[i]["kind"], got[i]["refers_to"]) for i, r in rows.items())
+        again = {r["id"]: r for r in warc.resolved(source).collect()}
+        assert {i: (r["length"], r["sha1"]) for i, r in again.items()} == {i: (len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, h in enumerate(html)}
+    with pytest.raises(Exception, match="not a WARC record"):
+        warc.parse_records(warc.record_bytes(archive).withColumn("record", F.substring("record", 1, 300))).collect()
     warc.write_archive(pages.limit(0), str(tmp_path / "e"))
+    assert warc.resolved(warc.parse_records(warc.record_bytes(warc.read_archive(spark, str(tmp_path / "e"))))).count() == 0
+    odd = spark.createDataFrame([(None, "u", "é" * 600), (3, "u", "é" * 600), (3, "v", "é" * 600), (3, "w", "z" * 2000), (None, "u", "x")], "page_id long, url string, html string")
+    warc.write_archive(odd, str(tmp_path / "o"))
+    rows = warc.resolved(warc.parse_records(warc.record_bytes(warc.read_archive(spark, str(tmp_path / "o"))))).collect()
+    assert Counter((r["id"], r["kind"], r["refers_to"], r["length"]) for r in rows) == Counter({(None, "revisit", 3, 1200): 1, (3, "response", None, 1200): 2, (3, "response", None, 2000): 1, (None, "response", None, 1): 1})
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
