@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import shipped, written
+from .scratch import numbered, shipped, written
 from .words import word_count
 
 _MASK = (1 << 64) - 1
@@ -26,23 +26,25 @@ _EPS = 1e-9
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """sizes (source, source_size, n) with the words that each source shall give (target).
+    """sizes (source, source_size, n) with the words that each source shall give (target) and its rank.
 
-    Sources in code point order, null last, weigh as in weights, repeating. All words are shared by weight,
-    but no source gives more than most times its own; what is over goes to the others by weight. With f the
-    words per unit of weight, target = min(most * size, f * weight). Ordered by most * size / weight, the
-    sources that are held back come first, and f is the greatest of (all words - what those before give) /
-    (weight of the rest). The table has one row per source; it's ordered in one task, which spills if it must.
+    Sources in code point order, null last, weigh as in weights, repeating. All words are shared by weight; a source that would give more
+    than most times its own stops there, and what is over is shared again by weight among the others, until none is above. With f the
+    words per unit of weight, target = min(most * size, f * weight); f only grows from turn to turn. A turn is one sum over
+    the sources, whatever their number, and sources are ranked by range partitions.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = numbered(sizes, F.col("source").asc_nulls_last(), name="rank", what="mix-ranked")
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * most)
-    every, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    shared = ranked.withColumn("f", left.cast("double") / weight).withColumn("f", F.max("f").over(every))
-    return shared.withColumn("target", F.least(F.col("cap").cast("double"), F.col("f") * F.col("weight"))).select("source", "source_size", "n", "rank", "target")
+    ranked = ranked.withColumn("cap", (F.col("source_size") * most).cast("long"))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    f, stopped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(f) * F.col("weight")
+        held, weight, n = ranked.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(above, 1))).first()
+        if n == stopped or not weight:
+            break
+        f, stopped = (total - (held or 0)) / weight, n
+    return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(f) * F.col("weight"))).select("source", "source_size", "n", "rank", "target")
 
 
 def _coin(a: int, b: int, level: int) -> float:
@@ -86,9 +88,7 @@ def _round(level: int, root: bool):
                 if held and (held[0], held[1]) != (rank, chunk):
                     out.append(closed(held))
                     held = None
-                if size == 0 or x <= _EPS or x >= 1 - _EPS:
-                    out.append((*row[:-2], float(_coin(h, 1, level) < x) if size == 0 else float(x > 0.5), False))
-                elif held is None:
+                if held is None:
                     held = [rank, chunk, h, size, x, row]
                 else:
                     xa, xb = meet(held[3], held[4], size, x, _coin(held[2], h, level))
@@ -102,35 +102,30 @@ def _round(level: int, root: bool):
     return run
 
 
-_SCHEMA = "id {id}, source {source}, size long, source_size long, target double, whole long, rank int, chunk long, h long, x double, open boolean"
-
+_SCHEMA = "id {id}, source {source}, same long, size long, source_size long, target double, whole long, rank long, chunk long, h long, x double, open boolean"
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, chunk_rows: int = 1024, fan_in: int = 64) -> DataFrame:
-    """How often the mix takes each row of docs: id, source, size, source_size, target, copies.
 
-    Size is the number of words of the text (null: 0). A null source is a source of its own. A text without words is
-    taken as often as its source's documents on average, which adds no words. Choices depend on seed, id, size
-    and source alone, so a rerun, or a run over the same rows in other partitions, takes the same. Rows that
-    repeat are rounded one by one. chunk_rows rows of a source are rounded in one pass, fan_in
-    open rows meet at each level of the tree. An empty table gives an empty table.
-    """
-    sized = written(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
-        "mix-sizes",
-    )
-    shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most), "mix-targets")
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int, chunk_rows: int, fan_in: int) -> DataFrame:
+    """As copies(), with `same`, a hash of the text."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("same"))
+    # Rows that repeat are counted before they move and told apart by their number, so that not even they share a chunk.
+    sized = written(sized.groupBy("id", "source", "size", "same").agg(F.count("*").alias("m")), "mix-sizes")
+    shares = written(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).cast("long").alias("source_size"), F.sum("m").alias("n")), weights, most), "mix-targets")
     shares_named = shares.select(F.col("source").alias("s"), "source_size", "target", "rank", F.ceil(F.col("n") / chunk_rows).alias("chunks"))
-    each = sized.join(shares_named.hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    each = sized.join(shares_named.hint("merge"), F.col("source").eqNullSafe(F.col("s"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.xxhash64(F.lit(seed), "id", "size", "source")
+    key = F.xxhash64(F.lit(seed), "id", "size", "source", "same", "k")
+    part = per - F.floor(per)
+    coin = F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 32)) / float(1 << 32)
+    settled = F.when(part <= _EPS, 0.0).when(part >= 1 - _EPS, 1.0).when(F.col("size") == 0, F.when(coin < part, 1.0).otherwise(0.0))
     each = each.select(
-        "id", "source", "size", "source_size", "target", F.floor(per).cast("long").alias("whole"), F.col("rank").cast("int").alias("rank"), F.pmod(key, "chunks").alias("chunk"), key.alias("h"),
-        (per - F.floor(per)).alias("x"), F.lit(True).alias("open"),
+        "id", "source", "same", "size", "source_size", "target", F.floor(per).cast("long").alias("whole"), "rank", F.pmod(key, "chunks").alias("chunk"), key.alias("h"),
+        F.coalesce(settled, part).alias("x"), settled.isNull().alias("open"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
     schema = _SCHEMA.format(id=kinds["id"], source=kinds["source"])
     chunks = shares_named.agg(F.max("chunks")).first()[0] or 1
-    level, rounded = 0, []
+    level, rounded, each = 0, [each.filter(~F.col("open"))], each.filter("open")
     while True:
         root = chunks <= 1
         dealt = each.repartition("rank", "chunk").sortWithinPartitions("rank", "chunk", F.desc("size"), "h", "id")
@@ -143,15 +138,35 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     whole = rounded[0]
     for more in rounded[1:]:
         whole = whole.unionByName(more)
-    return whole.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.round("x").cast("long")).alias("copies"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; all columns as they were. Cases as in copies()."""
-    taken = copies(docs, id_col, text_col, source_col, **how)
-    nth = lambda *order: F.row_number().over(Window.partitionBy("id").orderBy(*order))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("nth", nth("source", "size")).select("row", F.col("id").alias("i"), F.col("nth").alias("k"))
-    taken = taken.withColumn("nth", nth("source", "size", "copies")).filter("copies > 0").select("id", "nth", "copies")
-    kept = rows.join(taken.hint("merge"), F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("nth")))
-    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return whole.select("id", "source", "same", "size", "source_size", "target", (F.col("whole") + F.round("x").cast("long")).alias("copies"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, chunk_rows: int = 1024, fan_in: int = 64) -> DataFrame:
+    """How often the mix takes each row of docs: id, source, size, source_size, target, copies.
+
+    Size is the number of words of the text (null: 0). A null source is a source of its own. A text without words is
+    taken as often as its source's documents on average, which adds no words. Choices depend on seed, id, text
+    and source alone, so a rerun, or a run over the same rows in other partitions, takes the same. Rows that
+    repeat are rounded one by one. Only rows with a fraction of a copy go to Python: chunk_rows rows of a source are rounded in one pass, fan_in
+    open rows meet at each level of the tree. An empty table gives an empty table. Other columns are not read.
+    """
+    return _copies(docs, id_col, text_col, source_col, weights, most, seed, chunk_rows, fan_in).drop("same")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, chunk_rows: int = 1024, fan_in: int = 64) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it; all columns as they were. Cases as in copies().
+
+    Rows of one id, source and text share their copies evenly.
+    """
+    taken = _copies(docs, id_col, text_col, source_col, weights, most, seed, chunk_rows, fan_in)
+    taken = written(taken.groupBy("id", "source", "same").agg(F.sum("copies").alias("copies"), F.count("*").alias("m")), "mix-taken")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    on = F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("t") == F.col("same"))
+    repeat = lambda df, n: df.select("row", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
+    out = repeat(rows.join(taken.filter("m = 1 AND copies > 0").hint("merge"), on), F.col("copies"))
+    several = taken.filter("m > 1 AND copies > 0")
+    if not several.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("i", "s", "t").orderBy(F.lit(0)))
+        each = rows.join(several.hint("merge"), on).withColumn("n", F.floor(F.col("copies") / F.col("m")) + F.when(nth <= F.col("copies") % F.col("m"), 1).otherwise(0))
+        out = out.unionByName(repeat(each.filter("n > 0"), F.col("n")))
+    return out

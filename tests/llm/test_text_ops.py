@@ -179,7 +179,7 @@ def plain_targets(sizes: dict, weights=(5, 2, 1), most=3):
 def test_mixing(spark):
     rng = random.Random(11)
     rows = [(i if i % 50 else None, rng.choice([None, "", "w " * rng.randint(1, 30)]), "en", rng.choice(["é", "z", "a", "b", None, *["hot"] * 8])) for i in range(1500)]
-    rows += [(7000, "tiny one", "en", "small")] + [(7001, "same again", "en", "hot")] * 3
+    rows += [(7000, "tiny one", "en", "small")] + [(7001, "same again", "en", "hot")] * 3 + [(None, "all alike", "en", "hot")] * 40
     d = docs(spark, rows)
     got = mixing.copies(d, chunk_rows=16, fan_in=4).collect()
     again = mixing.copies(d.repartition(5), chunk_rows=16, fan_in=4).collect()
