@@ -16,10 +16,9 @@ def content_hash(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hash_of=content_hash) -> DataFrame:
     """One row per row of docs: its id, the id that stays for its text, and how many rows share the text.
 
-    Rows are grouped by a 128-bit hash of the whole text. While the groups are summed, the least and
-    the greatest text of each are kept as well; they are equal bytes if and only if all texts of the
-    group are, so this compares the bytes of every member, on the map side first: a group with a third
-    of all rows reaches the reducer as one row per task. Groups in which two texts share a hash are
+    Rows are grouped by a 128-bit hash of the whole text. While the groups are summed, the set of texts of each
+    is kept as well, which compares the bytes of every member, on the map side first: a group with a third
+    of all rows reaches the reducer as one row and one text per task. Groups in which two texts share a hash are
     split again by the text itself.
 
     keep: "min" (the smallest id stays) or "max". A null text counts as the empty text. A null id is
@@ -35,8 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written(
         rows.withColumn("_h", hash_of(F.col("_text")))
         .groupBy("_h")
-        .agg(best("_id").alias("_keep"), F.count("*").alias("_n"), F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
-        .select("_h", "_keep", "_n", (F.col("_lo") != F.col("_hi")).alias("_mixed")),
+        .agg(best("_id").alias("_keep"), F.count("*").alias("_n"), F.collect_set("_text").alias("_texts"))
+        .select("_h", "_keep", "_n", (F.size("_texts") > 1).alias("_mixed")),
         "exact-groups",
     )
     members = rows.select("_id", hash_of(F.col("_text")).alias("_h"), F.sha2("_text", 256).alias("text_sha256"))
