@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from joinwright.llm import bpe, chat, langid, mixing, pii, quality, queries
 
@@ -100,13 +102,80 @@ def test_features(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_features(t), t
 
 
+def test_windows_of_equal_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    d = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    plain = F.expr
+    monkeypatch.setattr(quality.F, "expr", lambda s: plain(s.replace("xxhash64(words[i], words[i + 1], words[i + 2])", "cast(ascii(words[i]) % 2 AS BIGINT)")))
+    assert {r["id"]: r["n_repeat_words"] for r in quality.features(d).collect()} == {i: plain_features(t)[4] for i, t in enumerate(texts)}
+
+
+def plain_em(votes: Counter, steps: int = 200, still: float = 1e-6) -> dict:
+    """Posterior of each tuple of votes, by loops. votes: how many documents have each."""
+    k = len(next(iter(votes)))
+    q = {v: min(0.99, max(0.01, v.count(1) / max(1, k - v.count(0)))) for v in votes}
+    acc, moved = None, 1.0
+    for _ in range(steps + 1):
+        pi = min(0.999, max(0.001, sum(n * q[v] for v, n in votes.items()) / max(1, sum(votes.values()))))
+        new = []
+        for j in range(k):
+            rate = lambda vote, w: min(0.9999, max(0.0001, (sum(n * w(q[v]) for v, n in votes.items() if v[j] == vote) + 1) / (sum(n * w(q[v]) for v, n in votes.items() if v[j]) + 2)))  # noqa: B023, E731
+            g, b = rate(1, lambda x: x), rate(-1, lambda x: 1 - x)
+            new.append((g, max(b, 1 - g)))
+        moved = max(abs(x - y) for p, r in zip(acc, new, strict=True) for x, y in zip(p, r, strict=True)) if acc else 1.0
+        acc = new
+        log = lambda v: math.log(pi / (1 - pi)) + sum(math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x else 0 for x, (g, b) in zip(v, acc, strict=True))  # noqa: B023, E731
+        q = {v: 1 / (1 + math.exp(-max(-500, min(500, log(v))))) for v in votes}
+        if moved <= still:
+            break
+    return q
+
+
+def test_posteriors_against_loops(spark):
+    rng = random.Random(12)
+    for rules in (1, 3, 5):
+        votes = Counter()
+        for _ in range(400):
+            good = rng.random() < 0.7
+            votes[tuple(rng.choices([1 if good else -1, -1 if good else 1, 0], [6, 1 + j, 2])[0] for j in range(rules))] += 1
+        votes[tuple([-1] * rules)] += 0
+        code = lambda v: sum((x + 1) * 3**j for j, x in enumerate(v))
+        got = {r["code"]: r["posterior"] for r in quality._em(spark.createDataFrame([(code(v), n) for v, n in votes.items()], "code int, n long"), rules, 200, 1e-6).collect()}
+        want = plain_em(votes)
+        assert {code(v): pytest.approx(q, abs=1e-6) for v, q in want.items()} == got
+    assert quality._em(spark.createDataFrame([], "code int, n long"), 3, 200, 1e-6).count() == 0
+
+
+def test_a_vote_alone_is_no_veto(spark, monkeypatch):
+    """Of four rules, one errs on a tenth of the good texts: its vote against the others is outvoted, while a filter of all rules drops the text."""
+    monkeypatch.setattr(quality, "rules", lambda: {w: F.when(F.col("n_symbols").bitwiseAND(1 << j) > 0, -1).otherwise(1) for j, w in enumerate("abcd")})
+    plain = "one two three four five six seven eight nine ten ".split()
+    texts = []
+    for i in range(400):
+        bad = i % 5 == 0
+        n = 14 if bad else 1 if i % 10 == 3 else 0
+        texts.append(" ".join(f"{w}{i}{j}" for j in range(6) for w in plain) + " " + "#" * (n + (1 if bad and i % 3 == 0 else 0)))
+    rows = {r["doc_id"]: r for r in quality.judge(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert all(rows[i]["kept"] == (i % 5 != 0) for i in rows)
+    all_pass = [i for i, r in rows.items() if min(r[f"vote_{w}"] for w in "abcd") > 0]
+    assert len(all_pass) == 280 and sum(r["kept"] for r in rows.values()) == 320
+
+
 def test_verdicts(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     judged = quality.judge(d).cache()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = [r for r in judged.collect()]
+    rows = judged.collect()
     assert len(rows) == d.count() and all(0 <= r["posterior"] <= 1 for r in rows)
     assert all(not r["kept"] for r in rows if r["base_failed"])
+    votes = Counter()
+    for r in rows:
+        votes[tuple(r[f"vote_{w}"] for w in quality.rules())] += not r["base_failed"]
+    want = plain_em(votes)
+    for r in rows:
+        q = want[tuple(r[f"vote_{w}"] for w in quality.rules())]
+        assert r["posterior"] == pytest.approx(q, abs=1e-6) and r["kept"] == (not r["base_failed"] and q >= 0.5)
     good = [r["kept"] or r["base_failed"] for r in rows if labels.get(r["doc_id"]) == 1]
     poor = [not r["kept"] for r in rows if labels.get(r["doc_id"]) == 0]
     assert sum(good) / len(good) > 0.95 and sum(poor) / max(1, len(poor)) > 0.8
