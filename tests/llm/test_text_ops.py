@@ -301,7 +301,7 @@ def test_bpe_equals_the_library(spark):
     path = queries.vocabulary()
     whole = Tokenizer.from_file(path)
     rng = random.Random(5)
-    parts = ["a", " ", "  ", "\n", "é", "1", "<|endoftext|>", "the ", "don't", "x y", "!", "…", "　", "\t", "ab cd ef gh", "\x00", "日本"]
+    parts = ["a", " ", "  ", "\n", "é", "1", "<|endoftext|>", "the ", "don't", "x y", "!", "…", "　", "\t", "ab cd ef gh", "\x00", "日本", "，", "。", "'", "'s", "’", "привет", " мир", "中文", "²", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", "́", "𝒳", "😀", "ʼ", "١", "अ"]
     texts = ["", None, "a" * 5000, " " * 3000, "the passage that all share " * 300, *("".join(rng.choice(parts) for _ in range(rng.randint(1, 2500))) for _ in range(60))]
     texts += ["one " + texts[10], texts[10] + " two"]
     d = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
@@ -316,18 +316,54 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(d.limit(0), path).count() == 0 and bpe.round_trip(d.limit(0), path).count() == 0
 
 
-def test_shared_passages_are_encoded_once():
-    codec = bpe.Codec(queries.vocabulary())
+@pytest.mark.parametrize("script", ["latin", "cyrillic", "chinese"])
+def test_shared_passages_are_encoded_once(script):
     rng = random.Random(2)
-    passage = " ".join(f"word{rng.randrange(5000)}" for _ in range(4000))
+    if script == "chinese":
+        passage = "".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randint(3, 20))) + rng.choice("，。") for _ in range(1500))
+    else:
+        first = 97 if script == "latin" else 0x430
+        passage = " ".join("".join(chr(first + rng.randrange(26)) for _ in range(rng.randint(2, 9))) for _ in range(4000))
+    codec = bpe.Codec(queries.vocabulary())
     codec.encode("first words " + passage)
-    before = codec.reused
+    before, pieces = codec.reused, len(codec.cache)
     codec.encode("other " + passage + " end")
-    assert codec.reused - before > 10
+    assert codec.reused - before > 10 and len(codec.cache) <= pieces + 2 and codec.widened == 0
     tiny = bpe.Codec(queries.vocabulary(), cache_bytes=3000)
     assert tiny.encode(passage).tolist() == codec.encode(passage).tolist() and tiny.cached <= 3000
 
 
+def test_what_the_fast_encoder_gives_up_on():
+    codec = bpe.Codec(queries.vocabulary())
+    texts = ["one two  three, 中文。" * 100, "a" * 3000]
+    want = [codec.encode(t).tolist() for t in texts]
+
+    class Stops:
+        def __getattr__(self, name):
+            return getattr(codec.pieces.encoding, name)
+
+        def encode_to_numpy(self, *a, **k):
+            raise RuntimeError("stack")
+
+    other = bpe.Codec(queries.vocabulary())
+    other.pieces.encoding = Stops()
+    assert [other.encode(t).tolist() for t in texts] == want
+
+
+def test_joins_grow_until_ids_agree(monkeypatch):
+    """With agreement points that are none, windows grow, and what can't agree is encoded whole."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.vocabulary())
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["thing", "ation ", " the", "don't ", "12", "é", "中文", "  ", "!?"]) for _ in range(900)) for _ in range(25)]
+    codec = bpe.Codec(queries.vocabulary(), chunk_bits=6)
+    assert all(codec.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts) and codec.widened == 0
+    monkeypatch.setattr(bpe.Codec, "agrees", lambda self, data, i: 0 < i < len(data) and data[i] & 0xC0 != 0x80)
+    wrong = bpe.Codec(queries.vocabulary(), chunk_bits=6)
+    assert sum(wrong.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts) > 0 and wrong.widened > 0
+
+
 # --- personal data ---
 
 PLAIN = {
