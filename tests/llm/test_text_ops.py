@@ -410,10 +410,64 @@ def test_patterns_discover(spark):
 
 def test_discovered_identifiers_support_patterns(spark):
     found = [f"555-123-456{i}" for i in range(4)]
-    texts = [f"some text {i} then Phone: +1 555 {i:07d} and more" for i in range(20)] + [f"write Phone: {x} now" for x in found[:3]] + [f"write Tel: {x} now" for x in found]
+    texts = [f"some text {i} then Phone: +1 555 {i:07d} and more" for i in range(20)] + [f"write Phone: {x} now" for x in found[:3]] + [f"write Tel: {x} again" for x in found]
     rows = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
     assert [rows[i] for i in range(20, 27)] == ["phone:13:25"] * 3 + ["phone:11:23"] * 4
-    assert pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), turns=1).filter("doc_id = 26").first()["spans"] == ""
+    one = pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), turns=1)
+    assert one.filter("doc_id = 26").first()["spans"] == "" and one.filter("doc_id = 23").first()["spans"] != ""
+
+
+def test_shapes_of_several_words(spark):
+    seeds = [f"text {i} Phone: +1 555 {i:07d} and more" for i in range(9)] + [f"text {i} Mail: x{i}@a.bc and more" for i in range(9)]
+    texts = [*seeds, "Phone: 030 123 4567, please", "Phone: (555) 123 4567 now", "Mail: alice@localhost now", "a number 1-555-0000003 of before", "the 12 34 56"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [rows[i] for i in range(18, 23)] == ["phone:7:19", "phone:7:21", "email:6:21", "phone:9:22", ""]
+
+
+def plain_discover(edges, turns=3, support=3, confidence=0.5):
+    totals, by = Counter(), defaultdict(dict)
+    for kind, p, value, n, _ in edges:
+        totals[p] += n
+        if kind:
+            by[(kind, p)][value] = n
+    seeds = {(k, v): 1.0 for k, _, v, _, seed in edges if seed}
+    known = dict(seeds)
+    for _ in range(turns):
+        good = {}
+        for (kind, p), values in by.items():
+            hit = [n * known[(kind, v)] for v, n in values.items() if (kind, v) in known]
+            if len(hit) >= support and sum(hit) / totals[p] >= confidence:
+                good[(kind, p)] = min(0.999, sum(hit) / totals[p])
+        miss = defaultdict(lambda: 1.0)
+        for (kind, p), c in good.items():
+            for v in by[(kind, p)]:
+                miss[(kind, v)] *= 1 - c
+        new = dict(seeds) | {k: 1 - m for k, m in miss.items() if 1 - m >= confidence and k not in seeds}
+        done = set(new) == set(known)
+        known = new
+        if done:
+            break
+    return set(known)
+
+
+def test_discovery_against_loops(spark):
+    rng = random.Random(14)
+    for trial in range(3):
+        rows = {}
+        for _ in range(700):
+            kind = rng.choice(["phone", "card", None])
+            value = f"{kind}{rng.randrange(60)}" if kind else None
+            rows[(kind, rng.randrange(40) if kind != "card" else rng.randrange(90), value)] = rng.randint(1, 4)
+        seeds = {v for _, _, v in rows if v and rng.random() < (0.3, 0.5, 0.7)[trial]}
+        edges = [(k, p, v, n, v in seeds) for (k, p, v), n in rows.items()]
+        got = {tuple(r) for r in pii.discover(spark.createDataFrame(edges, "kind string, p long, value string, n long, seed boolean")).collect()}
+        assert got == plain_discover(edges) and len(got) >= len(seeds)
+
+
+def test_hidden_seeds_are_found_again(spark):
+    texts = [f"some text {i} then Phone: +1 555 {i:07d} and more {i % 7}" for i in range(60)] + [f"value {i}" for i in range(200)]
+    row = pii.held_out(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).filter("kind = 'phone'").first()
+    assert row["hidden"] > 0 and row["found"] == row["hidden"] and row["others"] == 0
 
 
 # --- pipeline ---
