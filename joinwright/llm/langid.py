@@ -21,10 +21,11 @@ from pyspark.sql import types as T
 
 from .scratch import shipped
 
-#: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that they
-#: come from in the mean, languages. ALPHABET: characters whose moves are in the dense table; those of all others are in a sparse one.
-TRAIN_CHARS, TRAIN_TOTAL, TRAIN_ROWS, MOST_LANGUAGES, ALPHABET = 20_000, 200_000, 400, 200, 62
-SEGMENT = 2048
+#: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that may be sampled (in the
+#: mean), languages. ALPHABET: characters whose moves are in the dense table; those of all others are in a sparse one.
+TRAIN_CHARS, TRAIN_TOTAL, TRAIN_ROWS, MOST_LANGUAGES, ALPHABET = 60_000, 240_000, 100, 200, 62
+#: Texts are parsed in segments of so many characters side by side; what the cuts between them change is parsed again.
+SEGMENT, ROWS = 2048, 512
 
 
 def automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,61 +131,107 @@ class Model:
         fresh, begins = self._moves(start, code)
         return np.where(known & (state != start), to, np.where(begins, fresh, start) | _FRESH)
 
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
-        """Numbers of phrases (languages x rows) of codes (steps x rows), each parsed from its top; a pad changes nothing."""
-        steps, rows = codes.shape
-        count = np.zeros((len(self.langs), rows), np.int32)
-        state = np.repeat(self.starts[:, None], rows, axis=1)
-        for t in range(steps):
-            state &= _FRESH - 1
-            far = np.flatnonzero(codes[t] >= self.width) if self.rare else ()
-            if len(far):
-                moved = self._sparse(state[:, far], codes[t, far])
-                state = self.table.take(state + np.where(codes[t] < self.width, codes[t], 0))
-                state[:, far] = moved
-            else:
-                state += codes[t]
-                state = self.table.take(state)
+    def _advance(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The states (languages x rows) after one more code a row, marked where a phrase starts."""
+        state = state & (_FRESH - 1)
+        far = np.flatnonzero(codes >= self.width) if self.rare else ()
+        if len(far):
+            moved = self._sparse(state[:, far], codes[far])
+            state = self.table.take(state + np.where(codes < self.width, codes, 0))
+            state[:, far] = moved
+            return state
+        state += codes
+        return self.table.take(state)
+
+    def phrases(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of phrases (languages x rows) of codes (steps x rows), each parsed from its top, and the states at the end; a pad changes nothing."""
+        count = np.zeros((len(self.langs), codes.shape[1]), np.int32)
+        state = np.repeat(self.starts[:, None], codes.shape[1], axis=1)
+        for row in codes:
+            state = self._advance(state, row)
             count += state >> 30
-        return count
-
-    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language of each text (und if it has no letter) and a score: by what share the runner-up needs more than the winner, of the runner-up's need."""
+        return count, state & (_FRESH - 1)
+
+    def resumed(self, codes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """How many phrases more than phrases() gives if each row goes on in its state, the states at the end, and whether these are those of phrases().
+
+        Both parses are followed until they are in the same states, from where on they are one.
+        """
+        more = np.zeros(state.shape, np.int32)
+        fresh = np.repeat(self.starts[:, None], codes.shape[1], axis=1)
+        for t, row in enumerate(codes):
+            state, fresh = self._advance(state, row), self._advance(fresh, row)
+            more += (state >> 30) - (fresh >> 30)
+            if t % 16 == 15 and not ((state ^ fresh) & (_FRESH - 1)).any():
+                return more, state & (_FRESH - 1), True
+        return more, state & (_FRESH - 1), False
+
+    def counts(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Numbers of phrases (languages x texts) of whole texts, given as points().
+
+        Segments are parsed side by side, then each again from the state in which the one before ends, as far as that makes a difference; if it changes
+        the state at its end, the next one is parsed once more.
+        """
+        sizes = np.array([len(p) for p in texts], np.int64)
+        parts = -(-sizes // SEGMENT)
+        total = np.zeros((len(self.langs), len(texts)), np.int64)
+        if not parts.sum():
+            return total
+        owner = np.repeat(np.arange(len(texts)), parts)
+        flat = self.code[np.concatenate(texts)]
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        begin = at[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        size = np.minimum(SEGMENT, at[owner + 1] - begin)
+
+        def groups(rows: np.ndarray):
+            rows = rows[np.argsort(size[rows], kind="stable")]
+            for group in np.array_split(rows, max(1, -(-len(rows) // ROWS))):
+                steps = np.arange(int(size[group].max()))[:, None]
+                yield group, np.where(steps < size[group][None, :], flat.take(np.minimum(begin[group][None, :] + steps, len(flat) - 1)), 0).astype(np.int32)
+
+        found, ends = np.zeros((len(self.langs), len(owner)), np.int64), np.zeros((len(self.langs), len(owner)), np.int32)
+        for group, codes in groups(np.arange(len(owner))):
+            found[:, group], ends[:, group] = self.phrases(codes)
+        more, open_ = np.zeros_like(found), np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        while len(open_):
+            changed = []
+            for group, codes in groups(open_):
+                more[:, group], state, same = self.resumed(codes, ends[:, group - 1])
+                if not same:
+                    moved = (state != ends[:, group]).any(axis=0)
+                    ends[:, group] = state
+                    changed.append(group[moved] + 1)
+            after = np.unique(np.concatenate(changed)) if changed else np.empty(0, np.int64)
+            after = after[after < len(owner)]
+            open_ = after[owner[after] == owner[after - 1]]
+        for lang in range(len(self.langs)):
+            total[lang] = np.bincount(owner, weights=found[lang] + more[lang], minlength=len(texts)).astype(np.int64)
+        return total
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """The language of each text (und if it has no letter), a score: by what share the runner-up needs more than the winner, of the runner-up's need,
+        and the bits that the winner needs for a character."""
         all_points = [points(t) for t in texts]
         lettered = [bool((p != 32).any()) for p in all_points]
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        sizes = np.array([len(p) if ok else 0 for p, ok in zip(all_points, lettered, strict=True)])
-        parts = -(-sizes // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), parts)
-        total = np.zeros((len(self.langs), len(texts)), np.int64)
-        if len(owner):
-            flat = self.code[np.concatenate([p for p, ok in zip(all_points, lettered, strict=True) if ok])]
-            begin = np.concatenate(([0], np.cumsum(sizes)))[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
-            size = np.minimum(SEGMENT, (np.concatenate(([0], np.cumsum(sizes)))[owner + 1] - begin))
-            by_size = np.argsort(size, kind="stable")
-            for group in np.array_split(by_size, max(1, -(-len(by_size) // 512))):
-                steps = int(size[group].max())
-                at = begin[group][None, :] + np.arange(steps)[:, None]
-                inside = np.arange(steps)[:, None] < size[group][None, :]
-                codes = np.where(inside, flat.take(np.minimum(at, len(flat) - 1)), 0).astype(np.int32)
-                found = self.phrases(codes)
-                for lang in range(len(self.langs)):
-                    total[lang] += np.bincount(owner[group], weights=found[lang], minlength=len(texts)).astype(np.int64)
-        need = total * self.bits[:, None]
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        need = self.counts([p if ok else p[:0] for p, ok in zip(all_points, lettered, strict=True)]) * self.bits[:, None]
         best = need.argmin(axis=0)
         ordered = np.sort(need, axis=0)
         second = ordered[1] if len(self.langs) > 1 else np.maximum(ordered[0], 1) * 2
         score = np.where(second > 0, 1 - ordered[0] / np.maximum(second, 1e-9), 0.0)
-        return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), lettered, strict=True)], [float(x) if ok else 0.0 for x, ok in zip(score.tolist(), lettered, strict=True)]
+        each = ordered[0] / np.maximum(1, [len(p) for p in all_points])
+        pick = lambda values: [float(x) if ok else 0.0 for x, ok in zip(values.tolist(), lettered, strict=True)]
+        return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), lettered, strict=True)], pick(score), pick(each)
 
 
 def training_text(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int = TRAIN_CHARS, rows: int = TRAIN_ROWS) -> dict[str, str]:
-    """A bounded sample of labelled text per language.
+    """A bounded sample of labelled text per language: whole texts, joined by line ends.
 
-    Rows are taken by a hash of their id, about `rows` for each language (all if it has fewer), and of each a piece from its middle
-    at most 20 / rows of the text wanted, so that no row stands for its language. The pieces come to the driver: languages * chars at most
-    are kept. The first MOST_LANGUAGES languages by name are learned, more are an error.
+    Rows are taken by a hash of their id, about `rows` for each language (all if it has fewer), and then whole texts in the order of another hash as
+    long as they fit in `chars` code points (TRAIN_TOTAL is shared by the languages). No text may take more than a fourth of that, so that none stands for its language;
+    only a language that has no shorter one in the sample is learned from the beginnings of its texts. The texts come to the driver: rows * TRAIN_TOTAL / 4 code points
+    in the mean at most. The first MOST_LANGUAGES languages by name are learned, more are an error.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
@@ -193,18 +240,19 @@ def training_text(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     if not sizes:
         return {}
     chars = min(chars, TRAIN_TOTAL // len(sizes))
-    piece = max(100, chars * 20 // rows)
+    most = max(1, chars // 4)
     share = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30))
     within = F.lit(False)
     for lang, n in sizes.items():
         within = within | ((F.col(lang_col) == lang) & (share < int(min(1.0, rows / n) * (1 << 30))))
-    middle = F.greatest(F.lit(1), ((F.length(text_col) - piece) / 2).cast("int") + 1)
-    picked = known.filter(within).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("order"), id_col).alias("h"), F.substring(F.col(text_col), middle, F.lit(piece)).alias("t")).collect()
+    cut = F.length(text_col) > most
+    picked = known.filter(within).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("order"), id_col).alias("h"), F.substring(F.col(text_col), 1, most).alias("t"), cut.alias("cut")).collect()
+    whole = {r["lang"] for r in picked if not r["cut"] and r["t"]}
     out: dict[str, list[str]] = {k: [] for k in sizes}
     room = dict.fromkeys(sizes, chars)
     for r in sorted(picked, key=lambda r: (r["h"], r["t"])):
-        if room[r["lang"]] > 0 and r["t"]:
-            out[r["lang"]].append(r["t"][: room[r["lang"]]])
+        if r["t"] and r["cut"] == (r["lang"] not in whole) and len(r["t"]) <= room[r["lang"]]:
+            out[r["lang"]].append(r["t"])
             room[r["lang"]] -= len(r["t"])
     return {k: "\n".join(v) for k, v in out.items() if v}
 
@@ -222,15 +270,16 @@ def _model(sent: Broadcast) -> Model:
     return _models[key]
 
 
-def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with the predicted language of each whole text and a score from 0 to 1.
+def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", bits_col: str = "bits_per_char") -> DataFrame:
+    """docs with the predicted language of each whole text, a score from 0 to 1, and the bits that its parse needs for a character.
 
-    A text that is null or has no letter is `und`, with score 0; of languages that need the same, the first by name wins,
-    with score 0. Long texts are parsed in segments of SEGMENT characters, all of them; a phrase ends with its segment.
-    Without any labelled text all is `und`. Rows, order and other columns stay; columns named as the two new ones are replaced.
+    A text that is null or has no letter is `und`, with score and bits 0; of languages that need the same, the first by name wins,
+    with score 0. Without any labelled text all is `und`. Repeated rows are told one by one; an empty table gives an empty table. Rows, order and other
+    columns stay; columns named as the new ones are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(texts)  # bounded, see training_text
-    kept = [f for f in docs.schema.fields if f.name not in (lang_col, score_col)]
+    new = (lang_col, score_col, bits_col)
+    kept = [f for f in docs.schema.fields if f.name not in new]
     src = docs.select(*[docs[f"`{f.name}`"] for f in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +292,12 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lan
                 while end < batch.num_rows and held < 2_000_000:
                     held += len(values[end].as_buffer() or b"") if values[end].is_valid else 0
                     end += 1
-                langs, scores = model([x or "" for x in values.slice(start, end - start).to_pylist()])
+                langs, scores, bits = model([x or "" for x in values.slice(start, end - start).to_pylist()])
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_col, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=[*part.schema.names, *new])
                 start = end
 
-    schema = T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType()), T.StructField(bits_col, T.DoubleType())])
     return shipped(src).mapInArrow(run, schema)
 
 
@@ -257,7 +306,14 @@ def fold(id_col: str, folds: int = 4) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def drop_unidentified(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is und; all columns as they were."""
-    named = identify(docs, texts, text_col, "_lang_pred", "_lang_score")
-    return named.filter("_lang_pred != 'und'").drop("_lang_pred", "_lang_score")
+def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None, most_bits: float = 8.0) -> DataFrame:
+    """docs whose language is told, with it in lang_col; all other columns as they were.
+
+    Rows go whose language is `und` or, if languages are given, none of these; and rows in which even the best language needs more than most_bits bits for
+    a character, as texts in a script that none was learned in do: bytes alone would take no more. Cases as in identify(). A column lang_col is added where
+    there's none.
+    """
+    named = identify(docs, texts, text_col, "_lang_pred", "_lang_score", "_lang_bits").filter((F.col("_lang_pred") != "und") & (F.col("_lang_bits") <= most_bits))
+    if languages is not None:
+        named = named.filter(F.col("_lang_pred").isin(languages))
+    return named.withColumn(lang_col, F.col("_lang_pred")).drop("_lang_pred", "_lang_score", "_lang_bits")

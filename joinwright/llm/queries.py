@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.fold("doc_id") == 2, F.lit(False))
     sample = langid.training_text(docs.filter(~held_out), "doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), sample)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,21 @@ def test_phrases_are_longest_matches():
         t = "".join(rng.choice("abcdxyé? ") for _ in range(rng.randint(1, 200)))
         spelt = lambda s: "".join(map(chr, langid.points(s)))
         codes = model.code[langid.points(t)].astype(np.int32)[:, None]
-        assert model.phrases(codes)[:, 0].tolist() == [longest_matches(spelt(t), spelt(texts[k])) for k in model.langs]
+        assert model.phrases(codes)[0][:, 0].tolist() == [longest_matches(spelt(t), spelt(texts[k])) for k in model.langs]
+
+
+@pytest.mark.parametrize("segment", [1, 5, 16, 64])
+def test_segments_are_parsed_as_whole_texts(segment, monkeypatch):
+    """Long repeats make phrases that span segments."""
+    rng = random.Random(segment)
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "ROWS", 7)
+    known = {k: "".join(rng.choice(v) for _ in range(400)) for k, v in {"a": "ab ", "b": "abc ", "z": "xyz"}.items()}
+    model = langid.Model(known)
+    spelt = lambda s: "".join(map(chr, langid.points(s)))
+    texts = ["".join(rng.choice([known["a"][i : i + 90], known["b"][i : i + 40], "abxq", "", "zzz"]) for i in rng.choices(range(300), k=9)) for _ in range(12)]
+    got = model.counts([langid.points(t) for t in texts])
+    assert got.T.tolist() == [[longest_matches(spelt(t), spelt(known[k])) for k in model.langs] for t in texts]
 
 
 def test_every_character_has_a_code():
@@ -58,7 +72,7 @@ def test_every_character_has_a_code():
     mixed = [" ".join(say(rng.choice(sorted(scripts)), 2) for _ in range(15)) + " жњ龍" for _ in range(20)]
     codes = [model.code[langid.points(t)] for t in mixed]
     steps = max(map(len, codes))
-    found = model.phrases(np.array([np.pad(c, (0, steps - len(c))) for c in codes]).T)
+    found, _ = model.phrases(np.array([np.pad(c, (0, steps - len(c))) for c in codes]).T)
     assert found.T.tolist() == [[longest_matches(spelt(t), spelt(texts[k])) for k in model.langs] for t in mixed]
 
 
@@ -69,10 +83,15 @@ def test_identify(spark):
     assert [got[i][0] for i in (1, 2, 3, 4, 5, 6)] == ["en", "fr", "und", "und", "und", "en"]
     assert got[None][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
     assert {r["lang_pred"] for r in langid.identify(docs(spark, rows), {}).collect()} == {"und"}
-    kept = langid.drop_unidentified(docs(spark, rows), texts)
-    assert kept.count() == 4 and kept.columns == docs(spark, rows).columns
+    kept = langid.keep_identified(docs(spark, rows), texts)
+    assert {(r["doc_id"], r["lang"]) for r in kept.collect()} == {(1, "en"), (2, "fr"), (6, "en")} and kept.columns == docs(spark, rows).columns
+    assert langid.keep_identified(docs(spark, rows), texts, languages=["fr"]).count() == 1
+    assert langid.identify(docs(spark, rows * 2), texts).count() == 14
     assert langid.identify(docs(spark, rows).limit(0), texts).count() == 0
     assert langid.training_text(docs(spark, rows).filter("lang is not null"), "doc_id", "text", "lang") == {"x": "la souris est sur le tapis"}
+    long = [(i, f"{i} " + "mot " * 300, "fr", None) for i in range(5)] + [(9, "court", "fr", None)]
+    assert langid.training_text(docs(spark, long), "doc_id", "text", "lang", chars=4000) == {"fr": "court"}
+    assert set(langid.training_text(docs(spark, long[:5]), "doc_id", "text", "lang", chars=4000)["fr"].split("\n")) <= {x[1][:1000] for x in long}
     assert langid.training_text(docs(spark, rows).filter("lang = 'none'"), "doc_id", "text", "lang") == {}
 
 
