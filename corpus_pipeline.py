@@ -17,9 +17,12 @@ from joinwright.llm.scratch import shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told: those without a letter go."""
+    """Documents whose language is told, with it in lang; those without a letter, or that read like no language learned, go.
+
+    Null ids are in the training fold, null and empty texts go, repeated rows stay, an empty table gives an empty one.
+    """
     held_out = F.coalesce(langid.fold("doc_id") == 2, F.lit(False))
-    return langid.drop_unidentified(docs, langid.training_text(docs.filter(~held_out), "doc_id", "text", "lang"))
+    return langid.keep_identified(docs, langid.training_text(docs.filter(~held_out), "doc_id", "text", "lang"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
