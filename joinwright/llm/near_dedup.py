@@ -1,8 +1,8 @@
 """Near-duplicate groups by consistent weighted sampling over TF-IDF weighted word shingles.
 
-1. Document frequencies of shingles are summed over all documents in a table of fixed size (one row of a count-min sketch,
-   less the load that a bucket has on average). A shingle that fewer than one in a thousand documents have counts as that rare,
-   so edits to a small family don't change the weights of what it shares.
+1. Document frequencies of shingles are summed over all distinct texts in a table of fixed size (one row of a count-min sketch,
+   less the load that a bucket has on average), so that copies don't make what they hold common. A shingle that fewer than one in a thousand texts have counts
+   as that rare, so edits to a small family don't change the weights of what it shares.
 2. Each distinct text is sampled bands * rows times: a sample is the shingle of least a = c / (y e^r), with r, c, beta drawn per
    shingle and sample, y = e^(r (t - beta)), t = floor(ln w / r + beta). Two texts draw the same sample with the probability of their
    weighted Jaccard similarity. Weights have 128 values and the draws come from a table, so a is looked up.
@@ -10,7 +10,9 @@
    exact weighted Jaccard similarity of their whole texts, and linked if it's at least the threshold. Leaders change from bucket to
    bucket and from round to round. A bucket is closed when its members are all connected, or when distances rule out further
    links: distance is a metric, so two members whose distances from a leader differ by more than the limit are no link. After some
-   rounds, what is left is compared member by member where the classes differ.
+   rounds, what is left is compared member by member where the classes differ. For that, buckets of many members are dealt anew by prefixes: with a text's
+   shingles in one order for all, rarest first, two texts that are linked share one of the first, which weigh as much as a link may miss. So texts that
+   share a passage that many have don't meet for its sake.
 4. Links are joined into classes by propagating least labels, halving paths each round.
 """
 
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shipped, written
+from .scratch import discard, shipped, written
 from .shingles import counted, mix64, shingles, slices
+from .words import WORD
 
 BUCKETS, CHUNK = 1 << 20, 1 << 12
 FLOOR = 1e-3
+#: Bytes of text that a block of members has at most, if it has more than one.
+BLOCK_BYTES = 16_000_000
 TABLE_BITS = 14
 #: Weight of an idf level (16) and a term frequency class (8: 1, 2-3, 4-7, ... 128 and more).
 WEIGHTS = np.array([(1 + q / 15) * (1 + 0.7 * t) for q in range(16) for t in range(8)])
@@ -124,7 +129,9 @@ def band_hashes(u: np.ndarray, level: np.ndarray, ptr: np.ndarray, bands: int, r
     return mix64(summed).T
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, levels, width: int, bands: int, rows: int) -> DataFrame:
+def _signatures(texts: DataFrame, levels, width: int, bands: int, rows: int) -> DataFrame:
+    """texts (same, rep, text) as same, rep, bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(levels.value, width)
         for batch in batches:
@@ -134,10 +141,21 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, levels, width: int,
                 own = ptr[:-1] < ptr[1:]
                 offsets = np.concatenate(([0], np.cumsum(own * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(hashes).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), lists], names=["id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), lists], names=["same", "rep", "bands"])
+
+    return texts.select("same", "rep", "text").mapInArrow(run, f"same binary, rep {texts.schema['rep'].dataType.simpleString()}, bands array<long>")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), _key(text_col).alias("same"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, same binary, bands array<long>")
+def prefix(u: np.ndarray, level: np.ndarray, threshold: float) -> np.ndarray:
+    """The shingles of a text of which it shares one at least with every text that is as similar as threshold, or more.
+
+    Shingles are ordered by idf, rarest first, then by hash. What two texts share lies from the first shared one on, and a link needs threshold times the
+    weight of either text; so the first shared one comes before what is left weighs less.
+    """
+    order = np.lexsort((u, -(level >> 3)))
+    weight = WEIGHTS[level[order]]
+    before = np.cumsum(weight) - weight
+    return u[order[before <= (1 - threshold) * weight.sum() + 1e-9]]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,41 +192,48 @@ def _compared(pairs: DataFrame, texts: DataFrame, levels, width: int) -> DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the least id that links (a, b) connect each linked id with.
+    """(id, label): the least id that links (a, b) connect each linked id with, as a written table.
 
     Each round an id takes the least label of its neighbours, then the label of its label, so long chains
     shorten by half. Tables are written between rounds; sums of a hot id are partial first.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("l")).select("id", F.least("id", "l").alias("label")), "near-labels")
+    held = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("l")).select("id", F.least("id", "l").alias("label")), "near-labels")
     while True:
+        labels = held.select("id", "label")
         said = both.join(labels.hint("merge"), F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
         heard = written(said.unionByName(labels.withColumn("old", F.col("label"))).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near-heard")
         of = heard.select(F.col("id").alias("label"), F.col("label").alias("next")).hint("merge")
         jumped = written(heard.join(of, "label").select("id", F.least("label", "next").alias("label"), "old"), "near-labels")
-        labels = jumped.select("id", "label")
+        discard(held, heard)
+        held = jumped
         if jumped.filter("label != old").isEmpty():
-            return labels
+            discard(both)
+            out = held.select("id", "label")
+            out._written_at = held._written_at
+            return out
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, same, bands) and distinct texts that have words (same, rep, class_id, stays).
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256, distinct: bool = False) -> DataFrame:
+    """Distinct texts that have words (same, rep, class_id, stays), as a written table.
 
-    rep is the smallest id of the text, stays marks one text of each class: that of the smallest id, then of the least digest.
+    rep is the smallest id of the text, stays marks one text of each class: that of the smallest id, then of the least digest. distinct says that no text
+    occurs twice, which spares an exchange of all texts.
     """
-    spark = shipped(docs).sparkSession
-    levels = spark.sparkContext.broadcast(_frequencies(docs, text_col, width))  # BUCKETS bytes
-    signed = written(_signatures(docs, id_col, text_col, levels, width, bands, rows), "near-signed")
-    reps = written(signed.filter("size(bands) > 0").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "near-reps")
-    exploded = reps.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
+    rows_of = docs.select(_key(text_col).alias("same"), F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    own = None if distinct else written(rows_of.groupBy("same").agg(F.min("rep").alias("rep"), F.first("text").alias("text")), "near-distinct")
+    each = rows_of if own is None else own
+    levels = shipped(docs).sparkSession.sparkContext.broadcast(_frequencies(each, "text", width))  # BUCKETS bytes
+    signed = written(_signatures(each, levels, width, bands, rows).filter("size(bands) > 0").withColumn("node", F.monotonically_increasing_id()), "near-signed")
+    exploded = signed.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     shared = written(exploded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
     members = written(exploded.join(shared.hint("merge"), "bucket").select("bucket", "id", "lead"), "near-members")
-    wanted = written(reps.select("same", "rep", "node").join(members.select("id").distinct().hint("merge"), F.col("node") == F.col("id"), "left_semi"), "near-wanted")
-    rows_of = docs.select(_key(text_col).alias("s"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-    of_text = (F.col("s") == F.col("same")) & F.col("i").eqNullSafe(F.col("rep"))
-    texts = written(rows_of.join(wanted.hint("merge"), of_text).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
-    found, round_no = [], 0
-    labels = None
+    wanted = written(signed.select(F.col("same").alias("s"), F.col("rep").alias("r"), "node").join(members.select("id").distinct().hint("merge"), F.col("node") == F.col("id"), "left_semi"), "near-wanted")
+    of_text = (F.col("s") == F.col("same")) & F.col("r").eqNullSafe(F.col("rep"))
+    texts = each.join(wanted.hint("merge"), of_text).select(F.col("node").alias("id"), "text", F.octet_length("text").alias("bytes"))
+    texts = written(texts.dropDuplicates(["id"]) if distinct else texts, "near-texts")
+    discard(own, shared, wanted)
+    used, found, round_no = [signed, texts, members], [], 0
     while True:
         asked = members.filter("id != lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.lit(1).alias("one")).drop("one")
         compared = written(_compared(asked, texts, levels, width), "near-compared")
@@ -216,22 +241,37 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
-        labels = written(components(links), "near-classes")
+        labels = components(links)
         left = _open_members(members, compared, labels, 1 - threshold, round_no)
+        used += [compared, labels, left]
         round_no += 1
         if left.isEmpty():
             break
         members = left
         if round_no == leader_rounds:
-            links = links.unionByName(written(_crossing(members, texts, levels, width, threshold, block), "near-crossing"))
+            crossing = written(_crossing(members.filter(F.col("n") <= block), texts, levels, width, threshold, block), "near-crossing")
+            links, used = links.unionByName(crossing), [*used, crossing]
+            many = members.filter(F.col("n") > block)
+            if not many.isEmpty():
+                dealt = _by_prefix(many.groupBy("id").agg(F.first("label").alias("label")), texts, levels, width, threshold)
+                crossing = written(_crossing(dealt, texts, levels, width, threshold, block), "near-crossing")
+                links, used = links.unionByName(crossing), [*used, dealt, crossing]
             labels = components(links)
+            used.append(labels)
             break
     of_node = labels.select(F.col("id").alias("n"), "label").hint("merge")
-    named = reps.select("same", "rep", "node").join(of_node, F.col("node") == F.col("n"), "left").select("same", "rep", F.coalesce("label", "node").alias("label"))
+    named = signed.select("same", "rep", "node").join(of_node, F.col("node") == F.col("n"), "left").select("same", "rep", F.coalesce("label", "node").alias("label"))
     named = written(named, "near-named")
     first = written(named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "same")).alias("first")), "near-first")
     classed = named.join(first.hint("merge"), "label").select("same", "rep", F.col("first.rep").alias("class_id"), (F.col("same") == F.col("first.same")).alias("stays"))
-    return signed, written(classed, "near-class-of-text")
+    classed = written(classed, "near-class-of-text")
+    discard(*used, named, first)
+    return classed
+
+
+def _bare(text_col: str) -> Column:
+    """Whether a text has no word."""
+    return ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 18, rows: int = 4, leader_rounds: int = 2, block: int = 256) -> DataFrame:
@@ -246,8 +286,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read. After leader_rounds rounds, what is left of a bucket is compared in
     blocks of so many members.
     """
-    signed, classed = _classes(docs, id_col, text_col, threshold, width, bands, rows, leader_rounds, block)
-    out = signed.select("id", "same", (F.size("bands") == 0).alias("bare")).join(classed.hint("merge"), "same", "left")
+    classed = _classes(docs, id_col, text_col, threshold, width, bands, rows, leader_rounds, block)
+    each = docs.select(F.col(id_col).alias("id"), _key(text_col).alias("s"), _bare(text_col).alias("bare"))
+    out = each.join(classed.hint("merge"), F.col("s") == F.col("same"), "left")
     own = lambda c: F.when(F.col("bare"), F.col("id")).otherwise(F.col(c))
     out = out.select(F.col("id").alias(id_col), own("class_id").alias("class_id"), own("rep").alias("text_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
@@ -281,23 +322,52 @@ def _open_members(members: DataFrame, compared: DataFrame, labels: DataFrame, li
     return written(kept.join(again.hint("merge"), "bucket").select("bucket", "id", "lead", "n", "label"), f"near-left{round_no}")
 
 
+def _by_prefix(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float) -> DataFrame:
+    """members (id, label) in buckets (bucket, id, label) by the shingles of their prefixes, as a written table: whichever two of different labels are linked meet in one.
+
+    A text has as many rows as its prefix has shingles, about a fifth of all. Buckets with one label only are left out, and of those with the same members all but one.
+    """
+    wanted = texts.join(members.select("id").hint("merge"), "id", "left_semi").select("id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Weigher(levels.value, width)
+        for batch in batches:
+            for s, e, d, o in slices(batch.column(1)):
+                u, level, ptr = weigh(d, o)
+                each = [prefix(u[i:j], level[i:j], threshold) for i, j in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+                flat = np.concatenate(each).astype(np.uint64, copy=False).view(np.int64) if each else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "buckets"])
+
+    dealt = wanted.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, buckets array<long>").select("id", F.explode("buckets").alias("bucket"))
+    dealt = written(dealt.join(members.hint("merge"), "id"), "near-prefixes")
+    sets = dealt.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("who_else"),
+    )
+    sets = written(sets.filter("l0 != l1").groupBy("who", "who_else", "n").agg(F.min("bucket").alias("bucket")), "near-prefix-sets")
+    out = written(dealt.join(sets.select("bucket").hint("merge"), "bucket").select("bucket", "id", "label"), "near-by-prefix")
+    discard(dealt, sets)
+    return out
+
+
 def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float, block: int) -> DataFrame:
     """Links (a, b) between members of a bucket that are in different classes; one at least for each member and class that are linked.
 
-    Members outside the bucket's largest class ask, all members answer, in blocks of about `block` askers and members each: a
-    task holds two blocks of texts, whatever the size of the bucket, and no pair is ever a row.
+    Members outside the bucket's largest class ask, all members answer, in blocks of about `block` askers and members, or BLOCK_BYTES of text, each: a
+    task holds two blocks of texts, whatever the size of the bucket, and no pair is ever a row. A bucket of one block has each text once.
     """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("asking"))
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    members = members.select("bucket", "id", "label").join(texts.select("id", "bytes").hint("merge"), "id")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("bytes").alias("b"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("asking"), F.sum("b").alias("bytes"))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.least(F.col(c), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
     sizes = written(sizes.filter("asking > 0").select("bucket", "largest", blocks("n").alias("ms"), blocks("asking").alias("qs")), "near-blocks")
     each = members.select("bucket", "id", "label").join(sizes.hint("merge"), "bucket")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     answer = each.select("bucket", "id", "label", F.lit(False).alias("asks"), own("ms").alias("m"), every("qs").alias("q"))
     ask = each.filter("label != largest").select("bucket", "id", "label", F.lit(True).alias("asks"), own("qs").alias("q"), every("ms").alias("m"))
-    dealt = written(answer.unionByName(ask), "near-dealt").join(texts.hint("merge"), "id").select("bucket", "q", "m", "id", "label", "asks", "text")
+    dealt = written(answer.unionByName(ask), "near-dealt").join(texts.select("id", "text").hint("merge"), "id").select("bucket", "q", "m", "id", "label", "asks", "text")
 
     def run(key, table):
         weigh = Weigher(levels.value, width)
@@ -333,8 +403,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Classes are those of texts, as in near_groups(), whatever the ids: rows with a null id, or with an id that another text has, stay
     unless their text's class has a smaller one. Of texts without a word, one row stays for each id and text.
     """
-    signed, classed = _classes(docs, id_col, text_col, **how)
-    bare = signed.filter("size(bands) = 0").select("same", F.col("id").alias("rep")).distinct()
-    staying = classed.filter("stays").select("same", "rep").unionByName(bare).hint("merge")
-    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), _key(text_col).alias("_s"))
-    return named.join(staying, (F.col("_s") == F.col("same")) & F.col("_i").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["_s", "_i"]).select("_row.*")
+    staying = _classes(docs, id_col, text_col, **how).filter("stays").select("same", "rep").hint("merge")
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), _key(text_col).alias("_s"), _bare(text_col).alias("_b"))
+    kept = named.join(staying, (F.col("_s") == F.col("same")) & F.col("_i").eqNullSafe(F.col("rep")), "left").filter(F.col("_b") | F.col("same").isNotNull())
+    return kept.dropDuplicates(["_s", "_i"]).select("_row.*")

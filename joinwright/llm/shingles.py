@@ -11,7 +11,10 @@ _RNG = np.random.default_rng(977)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+#: A byte of a word counts by its place: a power of one base for the place in its run of 2^RUN bytes, and of another for the run.
+RUN = 12
+_POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full((1 << RUN) - 1, _BASE, np.uint64))))
+_RUN_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,14 +26,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * n, _BASE, np.uint64))))
-    return _powers
-
-
-def slices(text: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(text: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of parts of about `most` bytes; one text is never divided. Null texts are empty."""
     wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
     n = len(text)
@@ -61,10 +57,16 @@ def shingles(d: np.ndarray, o: np.ndarray, width: int = 5) -> tuple[np.ndarray,
     starts = np.flatnonzero(begin)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    within = np.arange(len(d), dtype=np.int64) - starts[np.cumsum(begin) - 1]
+    at = np.int32 if len(d) < 1 << 31 else np.int64
+    within = np.arange(len(d), dtype=at) - starts.astype(at)[np.cumsum(begin, dtype=at) - 1]
     within[~word] = 0
-    value = _BYTE[d] * _power(int(within.max()) + 1)[within]
+    value = _BYTE[d]
+    value *= _POWERS[within & ((1 << RUN) - 1)]
+    run = int(within.max()) >> RUN
+    if run:
+        value *= np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(run, _RUN_BASE, np.uint64))))[within >> RUN]
     value[~word] = 0
+    del within
     hashed = mix64(np.add.reduceat(value, starts))
     at = np.searchsorted(starts, o)
     doc = np.repeat(np.arange(n), np.diff(at))

@@ -110,7 +110,7 @@ def test_near_groups_against_all_pairs(spark):
     common = " ".join(f"c{i}" for i in range(40))
     texts += [common + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
     got = {r["doc_id"]: r for r in near_dedup.near_groups(docs(spark, texts), block=4, leader_rounds=1).collect()}
-    levels = near_dedup._frequencies(docs(spark, texts), "text", 5)
+    levels = near_dedup._frequencies(docs(spark, sorted(set(t or "" for t in texts))), "text", 5)
     import pyarrow as pa
 
     weigh = near_dedup.Weigher(levels, 5)
@@ -133,11 +133,56 @@ def test_near_groups_against_all_pairs(spark):
     assert close > 40
     assert {i: got[i]["class_id"] for i in got} == {i: root(i) for i in range(len(texts))}
     assert all(got[i]["kept"] == (got[i]["class_id"] == i) for i in got)
+    distinct = near_dedup.drop_near(exact_dedup.drop_exact(docs(spark, texts)), distinct=True)
+    assert {r["doc_id"] for r in distinct.collect() if (r["text"] or "").split()} == {root(i) for i in range(len(texts)) if (texts[i] or "").split()}
     out = near_dedup.drop_near(docs(spark, texts))
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({root(i) for i in range(len(texts))}) and out.columns == docs(spark, texts).columns
     assert near_dedup.near_groups(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_prefixes_of_linked_texts_meet():
+    """Whenever two texts are similar enough, their prefixes share a shingle; and a passage that many have is in none of them."""
+    rng = np.random.default_rng(5)
+    linked = 0
+    for _ in range(300):
+        n = int(rng.integers(4, 60))
+        pool = np.unique(rng.integers(0, 1 << 62, 2 * n, dtype=np.uint64))
+        idf = {int(x): int(y) for x, y in zip(pool, rng.integers(0, 16, len(pool)), strict=True)}
+        shift = int(rng.integers(0, max(1, n // 5)))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[shift:n], pool[n : n + int(rng.integers(0, max(1, n // 6)))])))
+        la, lb = (np.array([idf[int(x)] * 8 + int(rng.integers(0, 2)) for x in v]) for v in (a, b))
+        for t in (0.8, 0.5):
+            if near_dedup.similarity((a, la), (b, lb)) >= t:
+                linked += 1
+                assert len(np.intersect1d(near_dedup.prefix(a, la, t), near_dedup.prefix(b, lb, t)))
+    assert linked > 100
+    u = np.arange(1, 101, dtype=np.uint64)
+    level = np.where(u <= 50, 0, 15) * 8
+    assert near_dedup.prefix(u, level, 0.8).min() > 50 and len(near_dedup.prefix(u, level, 0.8)) <= 16
+
+
+def test_long_words():
+    import pyarrow as pa
+
+    word = "".join(random.Random(1).choice("abc") for _ in range(300_000))
+    texts = [word, word[:-1] + "x", "x" + word[1:], word[:5000] + "y" + word[5001:], word]
+    (_, _, d, o), = shingles.slices(pa.array(texts), most=10**9)
+    u, _, ptr = shingles.counted(*shingles.shingles(d, o))
+    assert len(u) == 5 and len(set(u.tolist())) == 4 and u[0] == u[4] and len(shingles._POWERS) == 1 << shingles.RUN
+
+
+def test_copies_do_not_make_their_text_common(spark):
+    """An edited version of a text is linked with it, though the text is a third of all rows."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = list(base)
+    for i in (5, 60):
+        near[i] = "changed"
+    rest = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs(spark, [" ".join(base)] * 100 + [" ".join(near)] + rest)).collect()}
+    assert {got[i] for i in range(101)} == {0} and len({got[i] for i in range(101, 301)}) == 200
+
+
 def test_ids_that_are_null_or_clash(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(6)]
