@@ -6,14 +6,12 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinwright.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from joinwright.llm.queries import vocabulary
-from joinwright.llm.scratch import shared_dir
+from joinwright.llm.scratch import new_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,22 +24,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: that of the largest doc_id, as op7_exact_dedup keeps it."""
+    """One document of each text: that of the largest doc_id, as op7_exact_dedup keeps it. A null text counts as empty, a null id stays only where its text
+    has no other; an empty table gives an empty one."""
     return exact_dedup.drop_exact(docs, keep="max")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that of the smallest doc_id."""
-    return near_dedup.drop_near(docs)
+    """One document of each class of near copies: that of the smallest doc_id. The stage before left no text twice, but for null ids and texts without a word.
+
+    Cases as in near_dedup.drop_near().
+    """
+    return near_dedup.drop_near(docs, distinct=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. A null source is a source of its own; other cases as in mixing.copies()."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with digests of them and of the text that they decode to."""
+    """The token ids of each document, with digests of them and of the text that they decode to. A null text counts as empty and has no ids."""
     return bpe.round_trip(docs, vocabulary(), with_ids=True)
 
 
@@ -54,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{shared_dir(spark)}/joinwright/pipeline-{uuid.uuid4().hex}"
+    place = new_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
