@@ -230,8 +230,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
     members = written(exploded.join(shared.hint("merge"), "bucket").select("bucket", "id", "lead"), "near-members")
     wanted = written(signed.select(F.col("same").alias("s"), F.col("rep").alias("r"), "node").join(members.select("id").distinct().hint("merge"), F.col("node") == F.col("id"), "left_semi"), "near-wanted")
     of_text = (F.col("s") == F.col("same")) & F.col("r").eqNullSafe(F.col("rep"))
-    texts = each.join(wanted.hint("merge"), of_text).select(F.col("node").alias("id"), "text", F.octet_length("text").alias("bytes"))
-    texts = written(texts.dropDuplicates(["id"]) if distinct else texts, "near-texts")
+    texts = written(each.join(wanted.hint("merge"), of_text).select(F.col("node").alias("id"), "text", F.octet_length("text").alias("bytes")), "near-texts")
     discard(own, shared, wanted)
     used, found, round_no = [signed, texts, members], [], 0
     while True:
