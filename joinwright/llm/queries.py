@@ -74,6 +74,29 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL states."""
+    base = quality.features(_table(spark, sf_dir, "documents"))
+    return base.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op5."""
+    taken = mixing.copies(_table(spark, sf_dir, "documents"))
+    return taken.groupBy("source", "source_size").agg(F.round(F.max("target"), 3).alias("target"), F.count("*").alias("n"))
+
+
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that op6 places."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), 40).select(F.col("id").alias("doc_id"), "size")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds that op9 counts."""
+    found = pii.entities(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -85,8 +108,13 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_warc_archive": op10_warc_archive,
+    "quality_base": quality_base,
+    "mixing_targets": mixing_targets,
+    "sharding_sizes": sharding_sizes,
+    "pii_base": pii_base,
 }
 
+
 def _escaped(x: str) -> str:
     """SQL: x as chat.escape() gives it."""
     x = f"replace({x}, '\\', '\\\\')"
@@ -121,4 +149,38 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
         FROM p
     """,
+    "quality_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM d, unnest(range(1, len(w) - 1)) u(i)),
+        m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM m, range(3) r(k) WHERE n > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+               CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
+    "mixing_targets": r"""
+        WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
+        w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * size AS cap FROM r),
+        b AS (SELECT *, sum(size) OVER () - coalesce(sum(cap) OVER o, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS share
+              FROM w WINDOW o AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT source, size AS source_size, round(least(CAST(cap AS DOUBLE), max(CAST(rest AS DOUBLE) / share) OVER () * weight), 3) AS target, n FROM b
+    """,
+    "sharding_sizes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents",
+    "pii_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        e AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS m FROM d) GROUP BY 1),
+        i AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, string_split(unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')), '.') AS p FROM d)
+              WHERE greatest(try_cast(p[1] AS HUGEINT), try_cast(p[2] AS HUGEINT), try_cast(p[3] AS HUGEINT), try_cast(p[4] AS HUGEINT)) <= 255 GROUP BY 1),
+        c0 AS (SELECT doc_id, row_number() OVER () AS k, x FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')), '[^0-9]', '', 'g') AS x FROM d) WHERE length(x) BETWEEN 12 AND 19),
+        c1 AS (SELECT doc_id, k, sum(CASE WHEN j % 2 = 0 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END) AS s
+               FROM (SELECT doc_id, k, j, CAST(substr(x, length(x) - j, 1) AS INTEGER) AS v FROM c0, range(19) r(j) WHERE j < length(x)) GROUP BY doc_id, k),
+        c AS (SELECT doc_id, count(*) AS n FROM c1 WHERE s % 10 = 0 GROUP BY 1),
+        p AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) AS m FROM d)
+              WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 GROUP BY 1)
+        SELECT doc_id, coalesce(e.n, 0) AS n_email, coalesce(i.n, 0) AS n_ip, coalesce(c.n, 0) AS n_card, coalesce(p.n, 0) AS n_phone
+        FROM d LEFT JOIN e USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
+    """,
 }
