@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -254,8 +256,18 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """The worker's codec: it and the cores it has encoded serve all tasks of the worker."""
-    return Codec(path)
+    """The worker's codec: it and the cores it has encoded serve all tasks of the worker. The file is at path, or where sent() has put it."""
+    return Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def sent(df: DataFrame, path: str) -> DataFrame:
+    """df, once the package and the vocabulary file at path on the driver have been sent to the executors; a file that only they have is left there."""
+    sc = df.sparkSession.sparkContext
+    gone: set[str] = getattr(sc, "_joinwright_files", set())
+    if path not in gone and os.path.exists(path):
+        sc.addFile(path)
+        sc._joinwright_files = gone | {path}
+    return shipped(df)
 
 
 def _slices(batch: pa.RecordBatch, text: pa.Array) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -270,7 +282,7 @@ def _slices(batch: pa.RecordBatch, text: pa.Array) -> Iterator[tuple[pa.RecordBa
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col (array of int): the ids of the whole text, as the tokenizers library gives them with the vocabulary
-    file at path and add_special_tokens=False. path must be there on every executor.
+    file at path and add_special_tokens=False. The file is sent to the executors.
 
     A null text counts as the empty text, which has no ids. Repeated rows are encoded one by one, an empty table gives an empty table. Rows, order and
     other columns stay; a column of the same name as ids_col is replaced. Memory: one slice of texts and ids, the cached cores, a fixed number of bytes, and the cached pieces.
@@ -287,7 +299,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*part.schema.names, ids_col])
 
-    return shipped(src).mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))]))
+    return sent(src, path).mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -307,7 +319,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
                 texts = [c.decode(x or []) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
 
-    return shipped(src).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return sent(src, path).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -340,4 +352,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept))))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return shipped(docs).select(docs[id_col], docs[text_col]).mapInArrow(run, out)
+    return sent(docs, path).select(docs[id_col], docs[text_col]).mapInArrow(run, out)

@@ -335,6 +335,17 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(d.limit(0), path).count() == 0 and bpe.round_trip(d.limit(0), path).count() == 0
 
 
+def test_the_vocabulary_is_sent(spark, tmp_path):
+    import shutil
+
+    own = tmp_path / "own_vocabulary.json"
+    shutil.copy(queries.vocabulary(), own)
+    d = docs(spark, [(1, "a text of some words", None, None)])
+    want = bpe.Codec(queries.vocabulary()).encode("a text of some words").tolist()
+    assert bpe.encode(d, str(own)).first()["ids"] == want
+    assert bpe.codec("/nowhere/own_vocabulary.json").encode("a text of some words").tolist() == want
+
+
 @pytest.mark.parametrize("script", ["latin", "cyrillic", "chinese"])
 def test_shared_passages_are_encoded_once(script):
     rng = random.Random(2)
