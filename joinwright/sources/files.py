@@ -9,9 +9,18 @@ from pyspark.sql import types as T
 from ..schema import RELATION, TBL
 
 
+_schemas: dict[tuple[str, int], T.StructType] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A Parquet table; unused columns are never read."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A Parquet table; unused columns are never read. Its schema is asked of the files once for each time that they change, which spares each query a job."""
+    path = f"{directory}/{name}.parquet"
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    changed = place.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+    if (path, changed) not in _schemas:
+        _schemas[(path, changed)] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[(path, changed)]).parquet(path)
 
 
 def tbl_path(name: str, scale: int, root: str = "data") -> str:

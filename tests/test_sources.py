@@ -98,6 +98,16 @@ def test_tbl(spark, tmp_path):
     assert files.tbl_path("part", 1) == "data/scale01/part.tbl"
 
 
+def test_schemas_follow_the_files(spark, tmp_path):
+    import os
+
+    for i, columns in enumerate(("1 AS a", "1 AS a, 'x' AS b")):
+        spark.sql(f"SELECT {columns}").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        os.utime(tmp_path / "t.parquet", (i + 1, i + 1))
+        for _ in range(2):
+            assert files.table(spark, str(tmp_path), "t").columns == ["a", "b"][: i + 1] and files.table(spark, str(tmp_path), "t").count() == 1
+
+
 def test_order(spark):
     r = spark.createDataFrame([(3, 0), (5, 1), (4, 2), (1, 3)], "key long, payload long")
     assert tuple(order.first_violation(r).first()) == (False, 2)
