@@ -11,6 +11,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store; one that can't be deleted stays."""
-    with contextlib.suppress(Exception):
-        sc = spark.sparkContext
-        place = sc._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+def _deleter(spark: SparkSession, path: str) -> Callable[[], None]:
+    """What deletes a folder of the shared store, even when the session has been stopped; one that can't be deleted stays."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def run() -> None:
+        with contextlib.suppress(Exception):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+    return run
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -45,7 +50,7 @@ def new_path(spark: SparkSession, what: str) -> str:
     own = f"{shared_dir(spark)}/joinwright/{spark.sparkContext.applicationId}"
     if own not in _cleaned:
         _cleaned.add(own)
-        atexit.register(_delete, spark, own)
+        atexit.register(_deleter(spark, own))
     return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
@@ -62,7 +67,7 @@ def discard(*tables: DataFrame | None) -> None:
     """Delete tables of written() that no later plan reads."""
     for t in tables:
         if t is not None:
-            _delete(t.sparkSession, t._written_at)
+            _deleter(t.sparkSession, t._written_at)()
 
 
 _INNER = (1 << 33) - 1  # bits of monotonically_increasing_id that count inside a partition
