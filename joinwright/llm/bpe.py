@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .scratch import shipped
+from .scratch import held, shipped
 
 #: The pre-tokenizer's pattern of this family of byte-level vocabularies, white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -254,10 +254,9 @@ class Codec:
         return b"".join(self.names_at[ids].tolist())[1:]
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """The worker's codec: it and the cores it has encoded serve all tasks of the worker. The file is at path, or where sent() has put it."""
-    return Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+    """The worker's codec, with the cores it has encoded. The file is at path, or where sent() has put it."""
+    return held(("bpe", path), lambda: Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))))
 
 
 def sent(df: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import shipped
+from .scratch import held, shipped
 
 #: Bounds of the model, whatever the corpus: code points of labelled text per language and in all, rows per language that may be sampled (in the
 #: mean), languages. ALPHABET: characters whose moves are in the dense table; those of all others are in a sparse one.
@@ -93,7 +93,7 @@ class Model:
         chars = seen[np.lexsort((seen, -often))]
         # 0 pads, 1 stands for all characters that no language has; from width on are those of the sparse table
         dense = len(chars[:ALPHABET])
-        self.width = 1 << max(1, (dense + 1).bit_length())
+        self.width = dense + 2
         self.code = np.ones(0x110000, np.int32)
         self.code[chars[:ALPHABET]] = np.arange(2, dense + 2)
         self.code[chars[ALPHABET:]] = np.arange(self.width, self.width + len(chars) - dense)
@@ -257,17 +257,10 @@ def training_text(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     return {k: "\n".join(v) for k, v in out.items() if v}
 
 
-_models: dict[str, Model] = {}
-
-
 def _model(sent: Broadcast) -> Model:
-    """The worker's model of this sample: built once, then used by all its tasks."""
+    """The worker's model of this sample."""
     texts = sent.value
-    key = hashlib.sha256(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(texts)
-    return _models[key]
+    return held(("langid", hashlib.sha256(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).digest()), lambda: Model(texts))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", bits_col: str = "bits_per_char") -> DataFrame:

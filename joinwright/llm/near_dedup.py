@@ -1,7 +1,7 @@
 """Near-duplicate groups by consistent weighted sampling over TF-IDF weighted word shingles.
 
 1. Document frequencies of shingles are summed over all distinct texts in a table of fixed size (one row of a count-min sketch,
-   less the load that a bucket has on average), so that copies don't make what they hold common. A shingle that fewer than one in a thousand texts have counts
+   less the load that a bucket has on average), so that copies don't make what they hold common. A shingle that fewer than one in a hundred texts have counts
    as that rare, so edits to a small family don't change the weights of what it shares.
 2. Each distinct text is sampled bands * rows times: a sample is the shingle of least a = c / (y e^r), with r, c, beta drawn per
    shingle and sample, y = e^(r (t - beta)), t = floor(ln w / r + beta). Two texts draw the same sample with the probability of their
@@ -32,7 +32,7 @@ from .shingles import counted, mix64, shingles, slices
 from .words import WORD
 
 BUCKETS, CHUNK = 1 << 20, 1 << 12
-FLOOR = 1e-3
+FLOOR = 1e-2
 #: Bytes of text that a block of members has at most, if it has more than one.
 BLOCK_BYTES = 16_000_000
 TABLE_BITS = 14

@@ -6,13 +6,14 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from ..sources.shared import discard, new_path, numbered, placed_rows, shared_dir, written
 
-__all__ = ["discard", "new_path", "numbered", "placed_rows", "shared_dir", "shipped", "written"]
+__all__ = ["discard", "held", "new_path", "numbered", "placed_rows", "shared_dir", "shipped", "written"]
 
 
 def shipped(df: DataFrame) -> DataFrame:
@@ -28,3 +29,14 @@ def shipped(df: DataFrame) -> DataFrame:
         sc.addPyFile(f"{place}/{package.name}.zip")
         sc._joinwright_shipped = True
     return df
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """The large object of that key of a Python worker, made once and used by all its tasks. A worker, which may serve one operator after the other, holds one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
