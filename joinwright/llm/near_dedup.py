@@ -202,10 +202,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         labels = held.select("id", "label")
         said = both.join(labels.hint("merge"), F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
-        heard = written(said.unionByName(labels.withColumn("old", F.col("label"))).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near-heard")
+        heard = said.unionByName(labels.withColumn("old", F.col("label"))).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         of = heard.select(F.col("id").alias("label"), F.col("label").alias("next")).hint("merge")
         jumped = written(heard.join(of, "label").select("id", F.least("label", "next").alias("label"), "old"), "near-labels")
-        discard(held, heard)
+        discard(held)
         held = jumped
         if jumped.filter("label != old").isEmpty():
             discard(both)
@@ -248,12 +248,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
             break
         members = left
         if round_no == leader_rounds:
-            crossing = written(_crossing(members.filter(F.col("n") <= block), texts, levels, width, threshold, block), "near-crossing")
+            crossing = _crossing(members.filter(F.col("n") <= block), texts, levels, width, threshold, block)
             links, used = links.unionByName(crossing), [*used, crossing]
             many = members.filter(F.col("n") > block)
             if not many.isEmpty():
                 dealt = _by_prefix(many.groupBy("id").agg(F.first("label").alias("label")), texts, levels, width, threshold)
-                crossing = written(_crossing(dealt, texts, levels, width, threshold, block), "near-crossing")
+                crossing = _crossing(dealt, texts, levels, width, threshold, block)
                 links, used = links.unionByName(crossing), [*used, dealt, crossing]
             labels = components(links)
             used.append(labels)
@@ -318,7 +318,9 @@ def _open_members(members: DataFrame, compared: DataFrame, labels: DataFrame, li
     # Of buckets with the same members one is enough.
     again = again.filter("n > 1 and l0 != l1").groupBy("who", "who_else", "n").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
     again = written(again.select("bucket", "lead", "n"), f"near-again{round_no}")
-    return written(kept.join(again.hint("merge"), "bucket").select("bucket", "id", "lead", "n", "label"), f"near-left{round_no}")
+    left = written(kept.join(again.hint("merge"), "bucket").select("bucket", "id", "lead", "n", "label"), f"near-left{round_no}")
+    discard(rest, stats, kept, again)
+    return left
 
 
 def _by_prefix(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float) -> DataFrame:
@@ -350,7 +352,7 @@ def _by_prefix(members: DataFrame, texts: DataFrame, levels, width: int, thresho
 
 
 def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshold: float, block: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that are in different classes; one at least for each member and class that are linked.
+    """Links (a, b) between members of a bucket that are in different classes, as a written table; one at least for each member and class that are linked.
 
     Members outside the bucket's largest class ask, all members answer, in blocks of about `block` askers and members, or BLOCK_BYTES of text, each: a
     task holds two blocks of texts, whatever the size of the bucket, and no pair is ever a row. A bucket of one block has each text once.
@@ -366,7 +368,8 @@ def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshol
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     answer = each.select("bucket", "id", "label", F.lit(False).alias("asks"), own("ms").alias("m"), every("qs").alias("q"))
     ask = each.filter("label != largest").select("bucket", "id", "label", F.lit(True).alias("asks"), own("qs").alias("q"), every("ms").alias("m"))
-    dealt = written(answer.unionByName(ask), "near-dealt").join(texts.select("id", "text").hint("merge"), "id").select("bucket", "q", "m", "id", "label", "asks", "text")
+    placed = written(answer.unionByName(ask), "near-dealt")
+    dealt = placed.join(texts.select("id", "text").hint("merge"), "id").select("bucket", "q", "m", "id", "label", "asks", "text")
 
     def run(key, table):
         weigh = Weigher(levels.value, width)
@@ -393,7 +396,9 @@ def _crossing(members: DataFrame, texts: DataFrame, levels, width: int, threshol
         own = table.schema.field("id").type
         return pa.Table.from_arrays([pa.array(a, own), pa.array(b, own)], names=["a", "b"])
 
-    return dealt.groupBy("bucket", "q", "m").applyInArrow(run, f"a {kind}, b {kind}")
+    links = written(dealt.groupBy("bucket", "q", "m").applyInArrow(run, f"a {kind}, b {kind}"), "near-crossing")
+    discard(sizes, placed)
+    return links
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
