@@ -7,6 +7,7 @@ left to adaptive execution or, where partitions are placed by radix, split expli
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -123,11 +124,19 @@ def radix_split(r: DataFrame, s: DataFrame, cfg: JoinConfig) -> DataFrame:
     bits = bits_for(r, cfg)
     pid = radix("key", bits)
     counts = s.groupBy(pid.alias("pid")).agg(F.count("*").alias("n"))
-    rows, mean = counts.agg(F.count("*"), F.avg("n")).first()
-    fair = max(float(cfg.split_rows), cfg.hot_share * (mean or 0))
-    parts = counts.filter(F.col("n") > fair).select("pid", F.ceil(F.col("n") / F.lit(fair)).cast("int").alias("parts"))
-    if rows < 2 or parts.isEmpty():
-        return radix_fused(r, s, cfg)
+    if bits <= 13:  # a small histogram is counted and looked at in one job
+        found = counts.collect()
+        fair = max(float(cfg.split_rows), cfg.hot_share * sum(x["n"] for x in found) / max(1, len(found)))
+        hot = [(x["pid"], math.ceil(x["n"] / fair)) for x in found if x["n"] > fair]
+        if len(found) < 2 or not hot:
+            return radix_fused(r, s, cfg)
+        parts = r.sparkSession.createDataFrame(hot, "pid int, parts int")
+    else:
+        rows, mean = counts.agg(F.count("*"), F.avg("n")).first()
+        fair = max(float(cfg.split_rows), cfg.hot_share * (mean or 0))
+        parts = counts.filter(F.col("n") > fair).select("pid", F.ceil(F.col("n") / F.lit(fair)).cast("int").alias("parts"))
+        if rows < 2 or parts.isEmpty():
+            return radix_fused(r, s, cfg)
     a, b = _sides(r.withColumn("pid", pid), s.withColumn("pid", pid), "pid")
     a = a.join(F.broadcast(parts), "pid", "left").select("key", "r_payload", "pid", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     dealt = F.pmod(F.xxhash64("key", "s_payload"), F.coalesce("parts", F.lit(1))).cast("int")
